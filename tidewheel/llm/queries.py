@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import byte_bpe, png_media
+from tidewheel.llm import byte_bpe, near_dup, png_media
 from tidewheel.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) ->
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked at a similarity of 0.85 on 5-word shingles."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 @query
 def op5_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every document as a PNG, read it back and hash its low frequencies."""
