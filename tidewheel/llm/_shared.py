@@ -97,7 +97,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices_of(batch: pa.RecordBatch, big: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices_of(batch: pa.RecordBatch, big: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows whose large column `big` holds about `most` bytes; a larger row stands alone."""
     if not batch.num_rows:
         return

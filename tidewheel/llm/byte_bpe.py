@@ -29,7 +29,7 @@ MOST_RANK_BYTES = 64_000_000
 #: Merged slices that a worker remembers, in each of two generations.
 REMEMBERED = 200_000
 #: Characters of text scanned at once; a longer text is scanned alone.
-SCAN_CHARS = 1 << 20
+SCAN_CHARS = 1 << 18
 #: Bytes of a slice that still merges in a grid, and rows of a grid.
 WIDEST, SIDE_BY_SIDE = 64, 8192
 #: The rank of a pair that doesn't merge.
@@ -296,7 +296,7 @@ class Vocabulary:
         return parts
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Of each text: its ids, and the byte at which each token ends (little-endian, 32 and 64 bits)."""
+        """Of each text: its ids, and the byte at which each token ends, as little-endian 32-bit values."""
         ids, ends = [b""] * len(texts), [b""] * len(texts)
         group: list[int] = []
         held = 0
@@ -330,7 +330,7 @@ class Vocabulary:
         begin = 0
         for i, end in zip(group, edge.tolist(), strict=True):
             ids[i] = flat[begin:end].tobytes()
-            ends[i] = (length[begin:end] - (length[begin - 1] if begin else 0)).astype("<i8").tobytes()
+            ends[i] = (length[begin:end] - (length[begin - 1] if begin else 0)).astype("<u4").tobytes()
             begin = end
 
     def remembered(self, pieces: list[str]) -> list[bytes]:
@@ -348,7 +348,7 @@ class Vocabulary:
 
     def decode(self, ids: bytes, ends: bytes) -> bytes:
         """The bytes of a text, gathered into place by the tokens' ends."""
-        at, stop = np.frombuffer(ids, "<u4"), np.frombuffer(ends, "<i8")
+        at, stop = np.frombuffer(ids, "<u4"), np.frombuffer(ends, "<u4").astype(np.int64)
         if not len(at):
             return b""
         sizes = np.diff(stop, prepend=0)
@@ -372,9 +372,9 @@ def read_ranks(path: str) -> bytes:
     return data
 
 
-def encode(df: DataFrame, ranks_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, and of each row's text: n_tokens, ids (little-endian 32-bit values) and ends (each token's end
-    in bytes, little-endian 64-bit values)."""
+def encode(df: DataFrame, ranks_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """`keep`, and of each row's text: n_tokens, ids and ends (each token's end in bytes), both as little-endian
+    32-bit values; with `decoded` also the bytes that the ids decode to, made in the same pass."""
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,9 +383,11 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", keep: tuple[str,
             for part in slices_of(batch, len(keep)):
                 ids, ends = v.encode([x.decode() for x in text_bytes(part.column(len(keep)))])
                 columns = [*part.columns[:-1], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(ends, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", "ids", "ends"])
+                if decoded:
+                    columns.append(pa.array([v.decode(a, b) for a, b in zip(ids, ends, strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", "ids", "ends", *["decoded"] * decoded])
 
-    return df.select(*keep, text).mapInArrow(run, f"{column_list(df, keep)}, n_tokens bigint, ids binary, ends binary")
+    return df.select(*keep, text).mapInArrow(run, f"{column_list(df, keep)}, n_tokens bigint, ids binary, ends binary" + ", decoded binary" * decoded)
 
 
 def decode(df: DataFrame, ranks_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -28,11 +28,8 @@ def rank_file(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     """Encode and decode every document; digests of the ids and of the decoded bytes."""
-    path = ranks or rank_file()
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), path)
-    ids = ids.withColumn("ids_sha256", F.sha2("ids", 256))
-    back = byte_bpe.decode(ids, path, keep=("doc_id", "n_tokens", "ids_sha256"))
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks or rank_file(), decoded=True)
+    return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query
