@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import byte_bpe, near_dup, png_media
+from tidewheel.llm import byte_bpe, near_dup, png_media, quality_rules, toxicity
+from tidewheel.llm._shared import remainder
 from tidewheel.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,15 @@ def rank_file(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document by rules learnt from four fifths of the labels."""
+    docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 0
+    model = quality_rules.fit(docs, table(spark, sf_dir, "labels"), held_out)
+    scored = quality_rules.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     """Encode and decode every document; digests of the ids and of the decoded bytes."""
@@ -55,3 +65,12 @@ def op5_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         "width",
         "height",
     )
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learnt from two thirds of the labels."""
+    docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 3) == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
