@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from tidewheel.llm._shared import column_list, mix64, sampled_labels, slices_of, text_bytes, written
 
 #: Characters of an n-gram, hashed buckets, features kept, labelled rows used at most.
-ORDERS, BUCKETS, FEATURES, SAMPLE = (3, 4, 5), 1 << 20, 6000, 16_000
+ORDERS, BUCKETS, FEATURES, SAMPLE = (4, 5, 6), 1 << 20, 6000, 16_000
 #: Added to counts; texts that a feature must occur in; strength of the L2 penalty.
-SMOOTHING, LEAST_TEXTS, PENALTY = 1.0, 4, 1.0
+SMOOTHING, LEAST_TEXTS, PENALTY = 1.0, 4, 0.1
 
 
 class Model(NamedTuple):
