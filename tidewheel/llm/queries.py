@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import byte_bpe, near_dup, png_media, quality_rules, toxicity
+from tidewheel.llm import apportion_mix, byte_bpe, near_dup, png_media, quality_rules, toxicity
 from tidewheel.llm._shared import remainder
 from tidewheel.sources.tables import table
 
@@ -67,6 +67,15 @@ def op5_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_apportion_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of all sources takes of every document."""
+    return apportion_mix.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op7_apportion_mix"] = apportion_mix.SQL
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learnt from two thirds of the labels."""
