@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import apportion_mix, byte_bpe, near_dup, png_media, quality_rules, toxicity
+from tidewheel.llm import apportion_mix, byte_bpe, near_dup, png_media, quality_rules, secret_scan, toxicity
 from tidewheel.llm._shared import remainder
 from tidewheel.sources.tables import table
 
@@ -67,6 +67,14 @@ def op5_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts and a digest of the fixed patterns' spans, and all spans."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{kind}')) as bigint) as n_{kind}") for kind in secret_scan.BASE]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.written_spans(F.col("base")), 256).alias("base_sha256"), secret_scan.written_spans(F.col("spans")).alias("spans"))
+
+
 @query
 def op7_apportion_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix of all sources takes of every document."""
