@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import apportion_mix, byte_bpe, near_dup, png_media, quality_rules, secret_scan, toxicity
+from tidewheel.llm import apportion_mix, byte_bpe, near_dup, png_media, quality_rules, rp_forest, secret_scan, toxicity, url_trust
 from tidewheel.llm._shared import remainder
 from tidewheel.sources.tables import table
 
@@ -35,6 +35,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.3).cast("int").alias("predicted"))
 
 
+#: Rules of the url query: host and path, verdict.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+@query
+def op2_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url: by the longest rule, else by what flows over links between hosts."""
+    return url_trust.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     """Encode and decode every document; digests of the ids and of the decoded bytes."""
@@ -91,3 +101,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op10_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows by inner product for every row whose id is divisible by 20."""
+    return rp_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
