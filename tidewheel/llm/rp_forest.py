@@ -3,9 +3,9 @@
 Inner products become angles by one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm; queries get 0.
 On a bounded sample of distinct vectors each tree splits by the difference of two random points at the median.
 All rows are put into one leaf a tree. A query walks all trees with one shared priority queue (a node's priority
-is the least margin on its way) until it has PROBES leaves; whatever lies in these leaves is ranked by exact
-inner products in double precision, leaf by leaf in blocks of bounded size, so neither a large leaf nor a popular
-one lands in one task, and only each block's best leave it.
+is the least margin on its way) until it has its share of the leaves; whatever lies in these is ranked by exact
+inner products in double precision. Large leaves are cut into cells, cells are dealt to groups of bounded size,
+and of each group only every query's best leave it.
 
 Equal vectors are one entry with their smallest ids (as many as a result can hold, and one), so a third of all
 rows may be the same vector. Vectors that are null, zero, of a length other than the most frequent one, or hold
@@ -27,10 +27,10 @@ from pyspark.sql.window import Window
 
 from tidewheel.llm._shared import BROADCAST_IDS, written
 
-#: Distinct vectors that the trees are fitted on at most; trees; rows a leaf should hold; least sample rows of a leaf; leaves that a query visits.
-SAMPLE, TREES, LEAF, LEAST_LEAF, PROBES = 40_000, 8, 128, 16, 96
-#: Vectors or queries in a block that one call ranks.
-BLOCK = 4096
+#: Distinct vectors that the trees are fitted on at most; trees; rows a leaf should hold; least sample rows of a leaf; leaves that a query visits at least, and as a share of all.
+SAMPLE, TREES, LEAF, LEAST_LEAF, PROBES, PROBE_SHARE = 40_000, 8, 128, 16, 96, 0.125
+#: Rows of a cell, rows and queries of a group.
+CELL, GROUP = 32_768, 65_536
 SEED = 20
 
 
@@ -116,6 +116,15 @@ def grow(sample: np.ndarray, leaves: int, trees: int, largest: float, seed: int
     return Forest(np.array(normals), np.array(cuts), np.array(below), np.array(roots), largest)
 
 
+def merged(score: np.ndarray, entry: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` best of each row, each entry once, ties by entry."""
+    order = np.lexsort((entry, -score), axis=1)
+    score, entry = np.take_along_axis(score, order, 1), np.take_along_axis(entry, order, 1)
+    score[:, 1:][entry[:, 1:] == entry[:, :-1]] = -np.inf
+    order = np.argsort(-score, axis=1, kind="stable")[:, :most]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(entry, order, 1)
+
+
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """vec_id and embedding (doubles) of the rows that take part, each pair once."""
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("embedding"))
@@ -123,7 +132,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select("vec_id", F.transform("embedding", lambda x: x + F.lit(0.0)).alias("embedding"))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding", probes: int = PROBES, trees: int = TREES) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding", probe_share: float = PROBE_SHARE, trees: int = TREES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the `k` largest inner products found for each row where `is_query`
     (a column over vec_id) holds."""
     rows = usable(vectors, key, vector)
@@ -155,47 +164,65 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", v
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.leaves_of(matrix(batch.column(1))).tolist(), pa.list_(pa.int64()))], names=["entry", "embedding", "leaves"])
 
+    plain = entries.select("entry", "embedding")
+    stored = written(plain.mapInArrow(place, "entry bigint, embedding array<double>, leaves array<bigint>"))
+    # as many counters as there are leaves, which the sample bounds
+    held = {r.leaf: r.n for r in stored.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    cells = np.ones(max(held) + 1, np.int64)
+    for leaf, rows_in in held.items():
+        cells[leaf] = -(-rows_in // CELL)
+    base = np.cumsum(cells) - cells
+    groups, turns = -(-n * trees // GROUP), -(-entries.where("asked").count() // GROUP)
+    probes = max(PROBES, int(probe_share * len(cells)))
+    cell_of = F.element_at(F.lit(base.tolist()), (F.col("leaf") + 1).cast("int")) + F.pmod(F.xxhash64("entry"), F.element_at(F.lit(cells.tolist()), (F.col("leaf") + 1).cast("int")))
+    stored = stored.select("entry", "embedding", F.explode("leaves").alias("leaf")).select("entry", "embedding", cell_of.alias("cell"))
+    stored = stored.select("entry", "embedding", "cell", F.pmod("cell", F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(max(0, turns - 1)))).alias("turn"))
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.probes_of(matrix(batch.column(1)), probes), pa.list_(pa.int64()))], names=["entry", "embedding", "leaves"])
-
-    kind = "entry bigint, embedding array<double>, leaves array<bigint>"
-    plain = entries.select("entry", "embedding")
-    stored = plain.mapInArrow(place, kind).select("entry", "embedding", F.explode("leaves").alias("leaf"))
-    visits = entries.where("asked").select("entry", "embedding").mapInArrow(walk, kind).select("entry", "embedding", F.explode("leaves").alias("leaf"))
-    # as many rows as there are leaves, which the sample bounds
-    held = {r.leaf: r.n for r in stored.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    popular = {r.leaf: r.n for r in visits.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-
-    def blocks(of: dict[int, int]) -> Column:
-        many = {leaf: -(-n // BLOCK) for leaf, n in of.items() if n > BLOCK}
-        found = F.lit(None).cast("int")
-        if many:
-            found = F.element_at(F.create_map(*[F.lit(x) for pair in many.items() for x in pair]), F.col("leaf"))
-        return F.coalesce(found, F.lit(1))
-
-    def dealt(df: DataFrame, own: dict, other: dict, names: tuple[str, str]) -> DataFrame:
-        mine = F.pmod(F.xxhash64("entry"), blocks(own)).cast("int").alias(names[0])
-        return df.select("entry", "embedding", "leaf", mine, F.explode(F.sequence(F.lit(0), blocks(other) - 1)).alias(names[1]))
-
-    left = dealt(stored, held, popular, ("part", "turn"))
-    right = dealt(visits, popular, held, ("turn", "part"))
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                rows, of, lists = [], [], []
+                for k, leaves in enumerate(sent.value.probes_of(matrix(part.column(1)), probes)):
+                    own = np.concatenate([np.arange(base[x], base[x] + cells[x]) for x in leaves])
+                    for g in np.unique(own % groups):
+                        rows.append(k)
+                        of.append(int(g))
+                        lists.append(own[own % groups == g])
+                taken = part.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(lists, pa.list_(pa.int64())), pa.array(of, pa.int64())], names=["entry", "embedding", "cells", "group"])
+
+    visits = entries.where("asked").select("entry", "embedding").mapInArrow(walk, "entry bigint, embedding array<double>, cells array<bigint>, group bigint")
+    visits = visits.withColumn("turn", F.pmod(F.xxhash64("entry", F.lit(SEED)), F.lit(max(1, turns))).cast("int"))
 
     def rank(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = ("query", "entry", "score")
         if not len(a) or not len(b):
-            return pd.DataFrame({"query": pd.Series(dtype="int64"), "entry": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        x, q = np.array(a.embedding.tolist(), float), np.array(b.embedding.tolist(), float)
-        ids, most, out = a.entry.to_numpy(), min(k + 4, len(a)), []
-        for i in range(0, len(q), 256):
-            rough = q[i : i + 256] @ x.T
-            best = np.argpartition(-rough, most - 1, axis=1)[:, :most]
-            exact = (q[i : i + 256, None, :] * x[best]).sum(2)
-            out.append((np.repeat(b.entry.to_numpy()[i : i + 256], most), ids[best].ravel(), exact.ravel()))
-        return pd.DataFrame(dict(zip(("query", "entry", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    keys = ["leaf", "part", "turn"]
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rank, "query long, entry long, score double")
+            return pd.DataFrame({x: np.empty(0, t) for x, t in zip(names, ("int64", "int64", "float64"), strict=True)})
+        a = a.sort_values("cell", kind="stable")
+        x, q, ids = np.stack(a.embedding), np.stack(b.embedding), a.entry.to_numpy()
+        cell = a.cell.to_numpy()
+        most = k + 1
+        score, entry = np.full((len(q), most), -np.inf), np.full((len(q), most), -1, np.int64)
+        asking = np.repeat(np.arange(len(b)), b.cells.map(len))
+        asked_cell = np.concatenate(b.cells.to_list())
+        order = np.argsort(asked_cell, kind="stable")
+        asking, asked_cell = asking[order], asked_cell[order]
+        for c in np.unique(asked_cell):
+            lo, hi = np.searchsorted(cell, [c, c + 1])
+            who = asking[slice(*np.searchsorted(asked_cell, [c, c + 1]))]
+            for i in range(0, len(who) if hi > lo else 0, 512):
+                w = who[i : i + 512]
+                rough = q[w] @ x[lo:hi].T
+                some = min(most + 3, hi - lo)
+                best = lo + np.argpartition(-rough, some - 1, axis=1)[:, :some]
+                exact = (q[w, None, :] * x[best]).sum(2)
+                score[w], entry[w] = merged(np.hstack([score[w], exact]), np.hstack([entry[w], ids[best]]), most)
+        kept = score > -np.inf
+        return pd.DataFrame({"query": np.repeat(b.entry.to_numpy(), kept.sum(1)), "entry": entry[kept], "score": score[kept]})
+
+    keys = ["group", "turn"]
+    pairs = stored.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(rank, "query long, entry long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
     pairs = pairs.groupBy("query", "entry").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(best))
     # ties of score between different vectors may hide a smaller id behind a larger one, so all that tie with the last are kept
