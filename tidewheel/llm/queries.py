@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import apportion_mix, byte_bpe, near_dup, png_media, quality_rules, rp_forest, secret_scan, toxicity, url_trust
+from tidewheel.llm import apportion_mix, byte_bpe, lattice_lm, near_dup, png_media, quality_rules, rp_forest, secret_scan, toxicity, url_trust
 from tidewheel.llm._shared import remainder
 from tidewheel.sources.tables import table
 
@@ -94,6 +94,12 @@ def op7_apportion_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op7_apportion_mix"] = apportion_mix.SQL
 
 
+@query
+def op8_lattice_lm(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """The log10 probability of every document, learnt from six sevenths of them."""
+    return lattice_lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2, model or rank_file("piece_bpe_32k.model"))
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learnt from two thirds of the labels."""
