@@ -35,6 +35,8 @@ from tidewheel.llm.components import components
 ROWS, BITS, MISS = 5, 2, 1e-7
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 SURE = 5.2
+#: Times that nodes without possible links are taken out.
+PEELS = 2
 #: Word hashes that a worker remembers.
 REMEMBERED = 300_000
 
@@ -189,7 +191,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, text: st
     met = spread.join(shared, "bucket")
     weight = met.groupBy("node").agg(F.sum("members").alias("weight"))
     # a hot bucket's members come as they lie; ties of weight fall to a scramble of the node
-    members = written(met.select("bucket", "node").join(nodes.select("node", "least", "n", "bits"), "node").join(weight, "node").withColumn("place", F.struct("weight", F.xxhash64("node"), "node")))
+    members = written(met.select("bucket", "node").join(nodes.select("node", "least", "n", "bits", "buckets"), "node").join(weight, "node").withColumn("place", F.struct("weight", F.xxhash64("node"), "node")))
     sets = written(sets_of(docs, words, members.select(F.col("least").alias("doc_id")).where("least is not null").distinct(), text, key).groupBy("node").agg(F.first("shingles").alias("shingles")))
 
     centre = members.groupBy("bucket").agg(F.max(F.struct("place", "node", "n", "bits")).alias("c"))
@@ -198,10 +200,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, text: st
     groups = components(links)
 
     open_ = unfinished(members, groups)
-    open_ = without_hopeless(open_, sets, percent)
-    left = open_.select("bucket", "part", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    right = open_.select(F.col("bucket").alias("bucket_b"), F.col("part").alias("part_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    across = left.join(right, (F.col("bucket") == F.col("bucket_b")) & (F.col("part") < F.col("part_b")) & alike(percent, k))
+    for _ in range(PEELS):
+        open_ = without_hopeless(open_, sets, percent)
+    side = ["part", "node", "n", "bits", "u", "buckets"]
+    left = open_.select("bucket", *[F.col(x).alias(f"{x}_a") for x in side])
+    right = open_.select(F.col("bucket").alias("bucket_b"), *[F.col(x).alias(f"{x}_b") for x in side])
+    reach = F.expr(f"100 * least(u_a, u_b) >= {percent} * (n_a + n_b - least(u_a, u_b))")
+    once = F.expr("bucket = array_min(array_intersect(buckets_a, buckets_b))")  # a pair meets in its first common bucket only
+    across = left.join(right, (F.col("bucket") == F.col("bucket_b")) & (F.col("part_a") < F.col("part_b")) & reach & alike(percent, k) & once)
+    across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     links = links.unionByName(confirmed(across, sets, percent))
     groups = components(written(links))
 
@@ -218,14 +225,21 @@ def unfinished(members: DataFrame, groups: DataFrame) -> DataFrame:
     """The members, with the part (component) of each, of buckets that hold more than one part."""
     parts = members.join(groups, "node", "left").withColumn("part", F.coalesce("root", "node"))
     several = parts.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("bucket")
-    return written(parts.join(several, "bucket").select("bucket", "node", "part", "n", "bits"))
+    return written(parts.join(several, "bucket").select("bucket", "node", "part", "n", "bits", "buckets"))
 
 
 def without_hopeless(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Drop nodes that can have no link: with u of n shingles in any other remaining set, no similarity exceeds u / n."""
-    left = sets.join(open_.select("node").distinct(), "node", "left_semi")
+    """Drop nodes that can have no link, and give the others u, the number of their shingles in other remaining sets.
+
+    An intersection is at most u, so with another set of m shingles, m >= u, the similarity is at most
+    u / (n + m - u), and at most u / n with any smaller one; m is at least the least size in the node's buckets."""
+    if "u" in open_.columns:
+        open_ = open_.drop("u")
+    smallest = open_.groupBy("bucket").agg(F.min("n").alias("m"))
+    nodes = open_.join(smallest, "bucket").groupBy("node").agg(F.first("n").alias("n"), F.min("m").alias("m"))
+    left = sets.join(nodes.select("node"), "node", "left_semi")
     each = left.select("node", F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").select("shingle")
     useful = each.join(common, "shingle").groupBy("node").agg(F.count("*").alias("u"))
-    hopeful = useful.join(open_.select("node", "n").distinct(), "node").where(F.expr(f"100 * u >= {percent} * n")).select("node")
-    return open_.join(hopeful, "node")
+    hopeful = useful.join(nodes, "node").where(F.expr(f"100 * u >= {percent} * (n + greatest(0, m - u))")).select("node", "u")
+    return written(open_.join(hopeful, "node"))
