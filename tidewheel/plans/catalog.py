@@ -1,31 +1,6 @@
-"""Queries by name and the equal SQL for DuckDB."""
+"""All queries by name and the equal SQL for DuckDB."""
 
-from __future__ import annotations
+from tidewheel.plans import codec_queries, flow_queries, state_queries, text_queries  # noqa: F401
+from tidewheel.plans.registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidewheel.sources.tables import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query, with its SQL where there is one."""
-
-    def keep(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE[name] = sql
-        return f
-
-    return keep
-
-
-@query("stream_filter_map_take", "SELECT event_id, round(value * 10, 6) AS v FROM events WHERE event_id % 2 = 0 ORDER BY event_id LIMIT 3")
-def stream_filter_map_take(spark, d):
-    ev = table(spark, d, "events")
-    return ev.where("event_id % 2 = 0").select("event_id", F.round(F.col("value") * 10, 6).alias("v")).orderBy("event_id").limit(3)
+__all__ = ["ORACLE", "QUERIES"]
