@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewheel.functions.batched import batched
+
 
 def hex_encode(b: Column) -> Column:
     return F.lower(F.hex(b))
@@ -126,7 +128,7 @@ def fingerprint_base64(b: Column) -> Column:
     return F.concat(F.lit("SHA256:"), F.regexp_replace(F.base64(F.unhex(F.sha2(b, 256))), "=+$", ""))
 
 
-@F.pandas_udf("bigint")
+@batched("bigint")
 def fnv_words(values):
     """A 64-bit FNV-1a over little-endian words of 8 bytes and then single bytes, as a signed number."""
 
@@ -143,7 +145,7 @@ def fnv_words(values):
     return values.map(one)
 
 
-@F.pandas_udf("binary")
+@batched("binary")
 def xor_mask(values, masks):
     """Every byte XORed with the four bytes of a mask (little-endian), again and again."""
     import numpy as np

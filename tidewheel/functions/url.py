@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewheel.functions.batched import batched
 from tidewheel.functions.text import ascii_lower, equal_fold
 
 #: scheme, user, host, path, query, fragment
@@ -165,7 +166,7 @@ def clean_host(host: Column) -> Column:
     return F.when(bare.rlike(r"[^\x00-\x7F]"), to_ascii(bare)).otherwise(F.when(bare.rlike("[A-Z]") & ~F.contains(bare, F.lit(":")), ascii_lower(bare)).otherwise(bare))
 
 
-@F.pandas_udf("string")
+@batched("string")
 def to_ascii(hosts):
     def one(h: str | None) -> str | None:
         try:
@@ -176,7 +177,7 @@ def to_ascii(hosts):
     return hosts.map(one)
 
 
-@F.pandas_udf("string")
+@batched("string")
 def resolve(base, ref):
     """A reference resolved against a base url (RFC 3986)."""
     from urllib.parse import urljoin

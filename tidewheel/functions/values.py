@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewheel.functions.batched import batched
+
 RFC3339 = r"^(\d{4}-\d{2}-\d{2})[Tt ](\d{2}:\d{2}):(\d{2})(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 
 
@@ -139,12 +141,27 @@ def json_typed(s: Column, schema: str, keys: list[str]) -> Column:
     return F.from_json(s, schema)
 
 
-def json_valid(s: Column) -> Column:
-    """Is the text one JSON value? An object with a repeated key counts as invalid."""
-    return F.try_parse_json(s).isNotNull()
+@batched("boolean")
+def json_valid(texts):
+    """Is the text one JSON value and nothing else? Null: null."""
+    import json
+
+    def strict(x):
+        raise ValueError(x)
+
+    def one(s: str | None) -> bool | None:
+        try:
+            json.loads(s, parse_constant=strict)
+        except (ValueError, RecursionError):
+            return False
+        except TypeError:
+            return None
+        return True
+
+    return texts.map(one)
 
 
-@F.pandas_udf("string")
+@batched("string")
 def json_compact(texts):
     """Without white space between tokens; order and spelling stay. Null for invalid JSON."""
     import json

@@ -1 +1,141 @@
-"""Queries of codecs."""
+"""Queries of encodings, lenient values, JSON and wire formats."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewheel.functions import codec as C
+from tidewheel.functions import values as V
+from tidewheel.functions import wire as W
+from tidewheel.plans.registry import query
+from tidewheel.sources.tables import table
+
+
+@query("hex_encode", "SELECT p_partkey, lower(hex(p_name)) AS h, p_name AS back, lower(to_hex(p_partkey)) AS n, p_partkey AS parsed, NULL::VARCHAR AS odd FROM part")
+def _(spark, d):
+    b, k = F.col("p_name").cast("binary"), F.col("p_partkey")
+    return table(spark, d, "part").select("p_partkey", C.hex_encode(b).alias("h"), C.hex_decode(C.hex_encode(b)).cast("string").alias("back"), C.hex_number(k).alias("n"), C.parse_hex(C.hex_number(k)).alias("parsed"), C.hex_decode(F.lit("abc")).cast("string").alias("odd"))
+
+
+@query("base64_url", "SELECT p_partkey, rtrim(translate(base64(encode(p_name || '>>?')), '+/', '-_'), '=') AS v FROM part")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", C.base64_url(F.concat("p_name", F.lit(">>?")).cast("binary")).alias("v"))
+
+
+@query("utf8_valid", "SELECT doc_id, true AS whole, false AS cut FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.is_valid_utf8("text").alias("whole"), F.is_valid_utf8(F.concat(F.col("lang").cast("binary"), F.unhex(F.lit("C3"))).cast("string")).alias("cut"))
+
+
+@query("zigzag", "SELECT o_orderkey, o_orderkey * 2 AS up, o_orderkey * 2 - 1 AS down, -o_orderkey AS back FROM orders WHERE o_orderkey > 0")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").where("o_orderkey > 0").select("o_orderkey", C.zigzag(k).alias("up"), C.zigzag(-k).alias("down"), C.unzigzag(C.zigzag(-k)).alias("back"))
+
+
+@query("quic_varint", "SELECT o_orderkey, v, CASE WHEN v <= 63 THEN 1 WHEN v <= 16383 THEN 2 WHEN v <= 1073741823 THEN 4 ELSE 8 END AS n, v AS back FROM (SELECT o_orderkey, o_orderkey * o_orderkey * o_orderkey AS v FROM orders)")
+def _(spark, d):
+    v = F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_orderkey")
+    out = table(spark, d, "orders").select("o_orderkey", v.alias("v")).withColumn("x", C.quic_decode(C.quic_encode(F.col("v"))))
+    return out.select("o_orderkey", "v", C.quic_length(F.col("v")).alias("n"), F.col("x.value").alias("back"))
+
+
+@query("uvarint", "SELECT o_orderkey, v, greatest(1, ceil(length(bin(v)) / 7.0))::INT AS n, v AS back FROM (SELECT o_orderkey, o_orderkey * o_orderkey * o_orderkey AS v FROM orders)")
+def _(spark, d):
+    v = F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_orderkey")
+    out = table(spark, d, "orders").select("o_orderkey", v.alias("v")).withColumn("b", C.uvarint_encode(F.col("v")))
+    return out.select("o_orderkey", "v", F.length("b").alias("n"), C.uvarint_decode(F.col("b"))["value"].alias("back"))
+
+
+@query("byte_order", "SELECT o_orderkey, o_orderkey % 65536 AS be16, o_orderkey AS be32, (o_orderkey % 256) * 256 + (o_orderkey // 256) % 256 AS swapped, NULL::BIGINT AS beyond FROM orders")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    b = C.store_be(k, 2)
+    return table(spark, d, "orders").select("o_orderkey", C.load_be(b, 0, 2).alias("be16"), C.load_le(C.store_le(k, 4), 0, 4).alias("be32"), C.load_le(b, 0, 2).alias("swapped"), C.load_be(b, 1, 2).alias("beyond"))
+
+
+@query("bit_gather", "SELECT p_partkey, ((p_size >> 1) & 3) | (((p_size >> 4) & 1) << 2) AS packed FROM part")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", C.gather_bits(F.col("p_size").cast("bigint"), 0b10110).cast("int").alias("packed"))
+
+
+@query("fingerprints", "SELECT p_partkey, rtrim(regexp_replace(sha256(p_name), '(..)', '\\1:', 'g'), ':') AS h, length(sha256(p_name)) AS n FROM part")
+def _(spark, d):
+    b = F.col("p_name").cast("binary")
+    return table(spark, d, "part").select("p_partkey", C.fingerprint_hex(b).alias("h"), F.length(F.sha2(b, 256)).cast("bigint").alias("n"))
+
+
+@query("word_hash")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", C.fnv_words(F.col("p_name").cast("binary")).alias("h"), F.hex(C.xor_mask(F.col("p_name").cast("binary"), F.lit(0x01020304))).alias("masked"))
+
+
+@query("lenient_numbers", "SELECT event_id, event_id AS plain, event_id AS quoted, 0::BIGINT AS empty, NULL::BIGINT AS junk, value AS real, '\"' || event_id || '\"' AS out FROM events")
+def _(spark, d):
+    i = F.col("event_id").cast("string")
+    return table(spark, d, "events").select("event_id", V.lenient(i, "bigint").alias("plain"), V.lenient(V.quoted(F.col("event_id")), "bigint").alias("quoted"), V.lenient(F.lit(""), "bigint").alias("empty"), V.lenient(F.col("event_type"), "bigint").alias("junk"), V.lenient(F.col("value").cast("string"), "double").alias("real"), V.quoted(F.col("event_id")).alias("out"))
+
+
+@query("bool_int", "SELECT * FROM (VALUES ('1', true), ('0', false), ('true', true), ('\"1\"', true), ('null', false), ('junk', false), ('-3', true), ('', false)) t(s, v)")
+def _(spark, d):
+    rows = ["1", "0", "true", '"1"', "null", "junk", "-3", ""]
+    return spark.createDataFrame([(x,) for x in rows], "s string").select("s", V.bool_int(F.col("s")).alias("v"))
+
+
+@query("json_entries", "SELECT event_id, 'k' AS key, props->>'k' AS value FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", F.explode(V.json_entries(F.col("props"))))
+
+
+@query("json_elements", "SELECT event_id, unnest([0, 1]) AS pos, unnest([props->>'k', event_type]) AS col FROM events")
+def _(spark, d):
+    s = F.concat(F.lit("["), F.get_json_object("props", "$.k"), F.lit(',"'), "event_type", F.lit('"]'))
+    return table(spark, d, "events").select("event_id", F.posexplode(V.json_elements(s)))
+
+
+@query("json_typed", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
+def _(spark, d):
+    s = F.replace("props", F.lit('"k"'), F.lit('"K"'))
+    return table(spark, d, "events").select("event_id", V.json_typed(s, "k bigint", ["k"])["k"].alias("k"))
+
+
+@query("json_marshal", "SELECT r_regionkey, '{\"id\":' || r_regionkey || ',\"name\":\"' || r_name || '\"}' AS j, true AS valid, false AS broken FROM region")
+def _(spark, d):
+    j = F.to_json(F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("gone")))
+    return table(spark, d, "region").select("r_regionkey", j.alias("j"), V.json_valid(j).alias("valid"), V.json_valid(F.concat(j, F.lit("}"))).alias("broken"))
+
+
+@query("json_compact", "SELECT event_id, replace(props, ' ', '') AS v FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", V.json_compact(F.col("props")).alias("v"))
+
+
+@query("wire_round_trip", "SELECT o_orderkey, o_orderkey AS k, -o_orderkey AS s, o_orderpriority AS p, o_totalprice AS f FROM orders")
+def _(spark, d):
+    m = F.concat(W.field(F.col("o_orderkey"), 1, "varint"), W.field(-F.col("o_orderkey"), 2, "sint"), W.field(F.col("o_orderpriority"), 3, "string"), W.field(F.col("o_totalprice"), 4, "float64"))
+    out = table(spark, d, "orders").select("o_orderkey", m.alias("m"), "o_totalprice").withColumn("f", W.scan(F.col("m")))
+    by = {n: F.get(F.filter("f", (lambda num: lambda x: x["num"] == num)(n)), F.lit(0)) for n in (1, 2, 3, 4)}
+    out = out.select("o_orderkey", W.signed(by[1]["raw"]).alias("k"), W.unzigzagged(by[2]["raw"]).alias("s"), by[3]["data"].cast("string").alias("p"), C.store_le(W.signed(by[4]["raw"]), 8).alias("b"))
+    return out.select("o_orderkey", "k", "s", "p", W.unpack_struct(F.col("b"), {"f": "d"})["f"].alias("f"))
+
+
+@query("wire_packed", "SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM events GROUP BY user_id")
+def _(spark, d):
+    groups = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
+    m = W.find(W.packed(F.col("ids"), 5, "varint"), 5)["data"]
+    return groups.select("user_id", F.array_join(F.transform(W.unpacked(m, "varint"), lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query("wire_map", "SELECT p_partkey, p_name AS k, p_size::BIGINT AS v, p_name AS nested FROM part")
+def _(spark, d):
+    entry = W.map_entry(7, W.field(F.col("p_name"), 1, "string"), W.field(F.col("p_size"), 2, "varint"))
+    out = table(spark, d, "part").select("p_partkey", entry.alias("m"))
+    e = F.get(W.map_entries(F.col("m"), 7), F.lit(0))
+    return out.select("p_partkey", e["key"]["data"].cast("string").alias("k"), W.signed(e["value"]["raw"]).alias("v"), W.find_path(F.col("m"), 7, 1)["data"].cast("string").alias("nested"))
+
+
+@query("fixed_struct", "SELECT p_partkey, p_size AS size, p_retailprice AS price FROM part")
+def _(spark, d):
+    b = W.pack_struct([F.col("p_size"), F.col("p_retailprice")], "Hd", ">")
+    out = table(spark, d, "part").select("p_partkey", W.unpack_struct(b, {"size": "H", "price": "d"}, ">").alias("x"))
+    return out.select("p_partkey", "x.size", "x.price")
