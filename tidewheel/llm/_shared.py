@@ -2,64 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.sources.shared import written
+
 #: A word: a longest run of bytes that are neither a space nor TAB..CR.
 WORD = r"[^\x20\x09-\x0D]+"
+__all__ = ["BROADCAST_IDS", "WORD", "ascii_lower", "column_list", "mix64", "remainder", "sampled_labels", "slices_of", "text_bytes", "written"]
+
 #: Ids that may be broadcast at most; beyond this the same join runs shuffled.
 BROADCAST_IDS = 2_000_000
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the setting is absent and the session is a single local JVM, a temporary folder serves; on a cluster an absent setting is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def written(df: DataFrame) -> DataFrame:
-    """`df`, computed once, written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors.
-
-    The files go when the driver's Python ends, or with release()."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidewheel-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(release)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Delete what written() left in the shared folder."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended; nothing can be deleted any more
-            return
-
-
 def ascii_lower(text: Column) -> Column:
     """`text` with A-Z lower-cased and all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

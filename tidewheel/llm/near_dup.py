@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm._shared import BROADCAST_IDS, mix64, slices_of, text_bytes, written
-from tidewheel.llm.components import components
+from tidewheel.operators.components import components
 
 #: Minima in a band, low bits kept of each, most probable loss of a pair at the threshold.
 ROWS, BITS, MISS = 5, 2, 1e-7

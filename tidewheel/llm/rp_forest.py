@@ -233,6 +233,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", v
     short = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).select("query", "score", "vec_id")
     found = short.join(entries.select(F.col("entry").alias("query"), "embedding"), "query")
     answers = found.groupBy("query", "embedding").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("list"))
+    answers = written(answers)
     small = F.broadcast(answers) if answers.count() <= BROADCAST_IDS // 100 else answers
     out = asked.withColumnRenamed("vec_id", "query_id").join(small, "embedding")
     others = F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
