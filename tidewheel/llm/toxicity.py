@@ -26,6 +26,8 @@ from tidewheel.llm._shared import column_list, mix64, sampled_labels, slices_of,
 
 #: Characters of an n-gram, hashed buckets, features kept, labelled rows used at most.
 ORDERS, BUCKETS, FEATURES, SAMPLE = (4, 5, 6), 1 << 20, 6000, 16_000
+#: Bytes of text whose n-grams are held at once; a longer text is held alone.
+SLICE = 250_000
 #: Added to counts; texts that a feature must occur in; strength of the L2 penalty.
 SMOOTHING, LEAST_TEXTS, PENALTY = 1.0, 4, 0.1
 
@@ -63,7 +65,7 @@ def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """bucket, toxic and clean texts that have it, for the (label, text) rows of a task."""
     total = np.zeros((2, BUCKETS), np.int64)
     for batch in batches:
-        for part in slices_of(batch, 1):
+        for part in slices_of(batch, 1, SLICE):
             own, found = distinct(*grams(text_bytes(part.column(1))))
             label = np.array(part.column(0).to_pylist())[own]
             for k in (0, 1):
@@ -93,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMP
         place = np.full(BUCKETS, -1, np.int32)
         place[buckets] = np.arange(len(buckets))
         for batch in batches:
-            for part in slices_of(batch, 2):
+            for part in slices_of(batch, 2, SLICE):
                 own, found = grams(text_bytes(part.column(2)))
                 found = place[found]
                 own, found = distinct(own[found >= 0], found[found >= 0].astype(np.int64))
@@ -154,7 +156,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
         weight[buckets] = weights
         counted = weight != 0
         for batch in batches:
-            for part in slices_of(batch, len(keep), 500_000):
+            for part in slices_of(batch, len(keep), SLICE):
                 own, found = grams(text_bytes(part.column(len(keep))))
                 hit = counted[found]
                 own, found = distinct(own[hit], found[hit])
