@@ -30,11 +30,16 @@ def written(df: DataFrame) -> DataFrame:
     The files go when the driver's Python ends, or with release()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidewheel-{uuid.uuid4().hex}"
+    remember(spark, path)
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remember(spark: SparkSession, path: str) -> None:
+    """Have release() delete a path."""
     if not _written:
         atexit.register(release)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def release() -> None:

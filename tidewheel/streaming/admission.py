@@ -2,7 +2,8 @@
 
 A rule is a class with a first state and a step; the batch forms in tidewheel.operators.stateful follow the same
 boundaries, and tests hold the two against each other. Streams should arrive about in order: a row older than
-the state it meets is judged at the state's time. Idle keys are dropped after `idle` milliseconds."""
+the state it meets is judged at the state's time. Keys idle for `idle` milliseconds are dropped, if it
+is given; a query with such a timeout keeps making batches, so one that should end when its input does goes without."""
 
 from __future__ import annotations
 
@@ -55,7 +56,7 @@ class TokenBucket:
         return ok, [have - self.cost, now] if ok else state
 
 
-def admitted(df: DataFrame, key: str, at: str, tie: str, rule, idle: int = 3_600_000) -> DataFrame:
+def admitted(df: DataFrame, key: str, at: str, tie: str, rule, idle: int | None = None) -> DataFrame:
     """The rows of a streaming DataFrame that the rule lets pass: key, `at` (microseconds), `tie`."""
 
     def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -69,11 +70,12 @@ def admitted(df: DataFrame, key: str, at: str, tie: str, rule, idle: int = 3_600
             ok, now = rule.step(now, int(t))
             keep.append(ok)
         state.update((json.dumps(now),))
-        state.setTimeoutDuration(idle)
+        if idle is not None:
+            state.setTimeoutDuration(idle)
         yield rows.loc[keep, [key, at, tie]]
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, at, tie))
-    return df.select(key, at, tie).groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.select(key, at, tie).groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def once_per_key(df: DataFrame, keys: list[str], ts: str, within: str) -> DataFrame:
