@@ -1,6 +1,7 @@
 """Queries that once ran on a part of their table: each must cover all of it."""
 
 from datetime import datetime, timedelta
+from urllib.parse import quote
 
 from tidewheel.plans import catalog
 
@@ -9,3 +10,16 @@ def test_time_range_expands_every_order(spark, sf):
     days = {x.o_orderkey: x.o_orderdate for x in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderdate").collect()}
     want = sorted((k, datetime(d.year, d.month, d.day) + timedelta(hours=12 * i)) for k, d in days.items() for i in range(5))
     assert sorted((x.o_orderkey, x.at) for x in catalog.QUERIES["time_range"](spark, sf).collect()) == want
+
+
+def test_url_escape_covers_whole_texts(spark, sf):
+    texts = {x.doc_id: x.text for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = {x.doc_id: (x.escaped, x.back) for x in catalog.QUERIES["url_escape"](spark, sf).collect()}
+    assert got == {k: (quote(t, safe=""), t) for k, t in texts.items()}
+
+
+def test_ascii_fold_covers_whole_texts(spark, sf):
+    texts = {x.doc_id: x.text for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    got = {x.doc_id: (x.low, x.has) for x in catalog.QUERIES["ascii_fold"](spark, sf).collect()}
+    assert got == {k: (t.translate(fold), "license" in t.translate(fold)) for k, t in texts.items()}

@@ -40,7 +40,7 @@ for _name, _f, _sql in (
 @query("ascii_fold", "SELECT doc_id, translate(left(text, 80), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'license') AS has, translate(lang, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = 'en' AS same FROM documents")
 def _(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", X.ascii_lower(F.substring(t, 1, 80)).alias("low"), X.contains_fold(t, F.lit("LICENSE")).alias("has"), X.equal_fold(F.col("lang"), F.lit("EN")).alias("same"))
+    return table(spark, d, "documents").select("doc_id", X.ascii_lower(t).alias("low"), X.contains_fold(t, F.lit("LICENSE")).alias("has"), X.equal_fold(F.col("lang"), F.lit("EN")).alias("same"))
 
 
 @query("trim_and_cut", r"""SELECT p_partkey, regexp_replace(E' \t' || p_name || E'\r\n ', '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS trimmed, p_type AS unquoted, split_part(p_name, ' ', 1) AS before, CASE WHEN contains(p_name, ' ') THEN substr(p_name, instr(p_name, ' ') + 1) ELSE '' END AS after, contains(p_name, ' ') AS found FROM part""")
@@ -121,7 +121,7 @@ def _(spark, d):
 
 @query("url_escape", "SELECT doc_id, url_encode(left(text, 60)) AS escaped, left(text, 60) AS back FROM documents")
 def _(spark, d):
-    e = U.query_escape(F.substring("text", 1, 60))
+    e = U.query_escape(F.col("text"))
     return table(spark, d, "documents").select("doc_id", e.alias("escaped"), U.path_unescape(e).alias("back"))
 
 
