@@ -23,3 +23,10 @@ def test_ascii_fold_covers_whole_texts(spark, sf):
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     got = {x.doc_id: (x.low, x.has) for x in catalog.QUERIES["ascii_fold"](spark, sf).collect()}
     assert got == {k: (t.translate(fold), "license" in t.translate(fold)) for k, t in texts.items()}
+
+
+def test_html_escape_covers_whole_pages(spark, sf):
+    pages = {x.page_id: x.html for x in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect()}
+    marks = {ord(c): f"\\u{ord(c):04x}" for c in "<>&\u2028\u2029"}
+    got = {x.page_id: x.v for x in catalog.QUERIES["html_escape"](spark, sf).collect()}
+    assert got == {k: h.translate(marks) for k, h in pages.items()}

@@ -80,7 +80,7 @@ def _(spark, d):
 
 @query("html_escape", r"""SELECT page_id, replace(replace(replace(substr(html, 1, 200), '<', '\u003c'), '>', '\u003e'), '&', '\u0026') AS v FROM pages""")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", X.html_escape(F.substring("html", 1, 200)).alias("v"))
+    return table(spark, d, "pages").select("page_id", X.html_escape(F.col("html")).alias("v"))
 
 
 @query("remove_class", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '', 'g') AS v FROM part")
