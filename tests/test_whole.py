@@ -1,5 +1,7 @@
 """Queries that once ran on a part of their table: each must cover all of it."""
 
+import random
+from collections import Counter
 from datetime import datetime, timedelta
 from urllib.parse import quote
 
@@ -30,3 +32,32 @@ def test_html_escape_covers_whole_pages(spark, sf):
     marks = {ord(c): f"\\u{ord(c):04x}" for c in "<>&\u2028\u2029"}
     got = {x.page_id: x.v for x in catalog.QUERIES["html_escape"](spark, sf).collect()}
     assert got == {k: h.translate(marks) for k, h in pages.items()}
+
+
+def test_components_bipartite_links_every_row(spark, tmp_path):
+    r = random.Random(3)
+    links = [(r.randrange(60), r.randrange(90), float(r.randrange(1, 51))) for _ in range(70)]
+    spark.createDataFrame(links, "l_orderkey bigint, l_partkey bigint, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for o, p, _ in links:
+        a, b = find(f"o{o}"), find(f"p{p}")
+        parent[max(a, b)] = min(a, b)
+    roots = {x: find(x) for x in parent}
+    sizes = Counter(roots.values())
+    got = {x.node: (x.component, x["size"]) for x in catalog.QUERIES["components_bipartite"](spark, str(tmp_path)).collect()}
+    assert got == {x: (c, sizes[c]) for x, c in roots.items()}
+
+
+def test_longest_prefix_has_keys_of_every_part(spark, tmp_path):
+    parts = [(1, "red"), (2, "blue sky deep"), (3, "red wine"), (4, "blue sky deep water"), (50, "red win"), (7, "pink x"), (8, "redder")]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    keys = {n for _, n in parts} | {n.split(" ")[0] for _, n in parts}
+    got = {x.p_partkey: x.found for x in catalog.QUERIES["longest_prefix"](spark, str(tmp_path)).collect()}
+    assert got == {k: max((key for key in keys if n.startswith(key)), key=len) for k, n in parts}

@@ -170,7 +170,7 @@ def _(spark, d):
 @query("longest_prefix", "SELECT p.p_partkey, (SELECT k.key FROM keys k WHERE starts_with(p.p_name, k.key) ORDER BY length(k.key) DESC LIMIT 1) AS found FROM part p".replace("FROM keys k", "FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS key FROM part WHERE p_partkey % 3 = 0 UNION SELECT DISTINCT p_name FROM part WHERE p_partkey % 50 = 0) k"))
 def _(spark, d):
     part = table(spark, d, "part")
-    keys = part.where("p_partkey % 3 = 0").select(F.substring_index("p_name", " ", 1).alias("key")).union(part.where("p_partkey % 50 = 0").select("p_name"))
+    keys = part.select(F.substring_index("p_name", " ", 1).alias("key")).union(part.select("p_name"))
     return prefix.longest_prefix(part, "p_name", keys, "key").select("p_partkey", "found")
 
 
@@ -201,7 +201,7 @@ def _(spark, d):
 
 @query("components_bipartite")
 def _(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity > 45")
+    li = table(spark, d, "lineitem")
     return components.labelled(li.select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey")).alias("b")))
 
 
