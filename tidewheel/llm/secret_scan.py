@@ -9,7 +9,8 @@ repeat with probability NATURAL_REPEAT and change between lower case, upper case
 NATURAL_CHANGE, so both counts have known means and deviations at each length, and the two p-values combine by
 Fisher's method. Candidates of all documents are then held against each other within classes of length
 (Benjamini and Hochberg at RATE, on a histogram of p-values: a few counters, whatever the input's size); those
-that pass and touch no base span are spans of the kind random.
+that pass and touch no base span are spans of the kind random;
+a candidate that touches one is also tried in the pieces that base spans leave of it.
 
 Positions count code points, ends are exclusive. Null and empty texts have no spans. A text is scanned whole;
 its work grows with its length and its number of matches. Rows stand alone but for the counters, so nulls and
@@ -142,9 +143,19 @@ def with_field(name: str, value):
     return lambda x: x.withField(name, value(x))
 
 
+def pieces(cands: str) -> Column:
+    """What remains of candidates that overlap base spans, in pieces of LEAST or more characters."""
+    near = "filter(base__, b -> b.start < x.end and x.start < b.end)"
+    free = f"filter(array_distinct(concat(array(x.start), transform({near}, b -> b.end))), s -> s < x.end and not exists(base__, b -> b.start <= s and s < b.end))"
+    cut = f"transform({free}, s -> struct(x, s, least(x.end, coalesce(array_min(transform(filter(base__, b -> b.start > s), b -> b.start)), x.end)) as e))"
+    touched = f"filter({cands}, x -> exists(base__, b -> b.start < x.end and x.start < b.end))"
+    return F.expr(f"transform(filter(flatten(transform({touched}, x -> {cut})), p -> p.e - p.s >= {LEAST}), p -> struct(p.s as start, p.e as end, substring(p.x.part, p.s - p.x.start + 1, p.e - p.s) as part))")
+
+
 def candidates(df: DataFrame, text: str) -> DataFrame:
-    """`df` with cands: an array of (start, end, class, bin) for every candidate."""
+    """`df` with cands: an array of (start, end, class, bin) for every candidate, and for every piece of one that its base spans (base__) leave."""
     df = located(df, text, "cands", CANDIDATE)
+    df = df.withColumn("cands", F.concat("cands", pieces("cands")))
     for name, value in STEPS:
         df = df.withColumn("cands", F.transform("cands", with_field(name, value)))
     return df.withColumn("cands", F.transform("cands", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["class"].alias("class"), x["bin"].alias("bin"))))
