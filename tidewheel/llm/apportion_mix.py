@@ -13,7 +13,8 @@ decided late is bounded from both sides beforehand (the divisor lies between two
 sees about two quotients for a source or shard, not every block.
 
 Null and empty texts have size 0 and get nothing. Null sources are one source, after all others. Null ids and
-repeated rows count as rows of their own. A table without words, or without rows, mixes to nothing."""
+repeated rows count as rows of their own; without an id the text's digest gives the place in the seeded order. A table without words, or
+without rows, mixes to nothing. Only the columns doc_id, source and text are read, so others may have any name."""
 
 from __future__ import annotations
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewheel.llm._shared import BROADCAST_IDS, WORD, written
+from tidewheel.llm._shared import WORD, small, written
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -31,8 +32,9 @@ SEED = "mix"
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: the number of words of the whole text."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, name (the id, or without one a digest of the text), source, size: the number of words of the whole text."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))
+    return docs.select("doc_id", name.alias("name"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -86,12 +88,12 @@ def mix(docs: DataFrame) -> DataFrame:
     sources = targets(sizes).withColumn("blocks", total)
     sources = written(seats(sources.withColumn("all__", F.lit(1)), ["all__"], ["place"], "target", F.col("blocks"), "quota").select("source", "source_size", "place", "target", "quota"))
     shards = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / SHARD)))
-    small = F.broadcast(sources) if sources.count() <= BROADCAST_IDS else sources
-    rows = sizes.join(small.withColumnRenamed("source", "of__"), F.col("source").eqNullSafe(F.col("of__")))
-    digest = scramble(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    known = small(sources)
+    rows = sizes.join(known.withColumnRenamed("source", "of__"), F.col("source").eqNullSafe(F.col("of__")))
+    digest = scramble(F.col("name"))
     rows = rows.select("doc_id", "size", "source_size", "place", "target", digest.alias("order__")).withColumn("shard", F.pmod(number(F.col("order__")), shards))
     parts = rows.groupBy("place", "shard").agg(F.sum("size").alias("shard_size"))
-    quotas = seats(parts.join(small.select("place", "quota"), "place"), ["place"], ["shard"], "shard_size", F.col("quota"), "shard_blocks")
+    quotas = seats(parts.join(known.select("place", "quota"), "place"), ["place"], ["shard"], "shard_size", F.col("quota"), "shard_blocks")
     quotas = quotas.select("place", "shard", "shard_size", "shard_blocks")
     line = Window.partitionBy("place", "shard").orderBy("order__", "doc_id", "size")
     rows = rows.join(quotas, ["place", "shard"]).withColumn("stop", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -108,7 +110,7 @@ def mix(docs: DataFrame) -> DataFrame:
 #: The same in DuckDB's SQL over the table documents.
 SQL = f"""
 WITH sizes AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, coalesce(doc_id::VARCHAR, md5(text), '') AS name, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 own AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
 placed AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM own),
 weighed AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN {WEIGHTS[0]} WHEN 1 THEN {WEIGHTS[1]} ELSE {WEIGHTS[2]} END AS weight FROM placed),
@@ -133,7 +135,7 @@ sources AS (
     b.low + (SELECT count(*) FROM ranked r WHERE r.place = b.place AND r.rank <= b.seats - (SELECT sum(low) FROM bound)) AS quota,
     greatest(1, least({MOST_SHARDS}, ceil(b.source_size / {SHARD})))::BIGINT AS shards FROM bound b),
 dealt AS (
-  SELECT d.doc_id, d.size, s.source_size, s.place, s.target, s.quota, md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, '')) AS ordered, s.shards
+  SELECT d.doc_id, d.size, s.source_size, s.place, s.target, s.quota, md5('{SEED}:' || d.name) AS ordered, s.shards
   FROM sizes d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
 lines AS (SELECT *, ('0x' || substr(ordered, 1, 8))::BIGINT % shards AS shard FROM dealt),
 parts AS (SELECT place, shard, any_value(quota) AS seats, sum(size)::BIGINT AS shard_size FROM lines GROUP BY place, shard),

@@ -5,14 +5,15 @@ automaton, and these functions form a finite monoid. Composition is associative,
 character of a whole batch of texts comes from a blocked prefix scan over function numbers; boundaries are then
 read off neighbouring states. Slices between boundaries go through a cache of pair merges.
 
-Null and empty texts encode to no ids. A text is encoded whole, whatever its length; a slice of n bytes merges
-in O(n log n). Rows are independent: repeated rows give repeated results, and only the named columns are read,
-so further columns of any name do no harm."""
+Null and empty texts encode to no ids; bytes that are no UTF-8 count as U+FFFD. A text is encoded whole, whatever
+its length; a slice of n bytes merges in O(n log n). Rows are independent: repeated rows give repeated results, an
+empty table an empty one, and only the named columns are read, so further columns of any name do no harm."""
 
 from __future__ import annotations
 
 import base64
 import heapq
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -22,14 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewheel.llm._shared import column_list, mix64, slices_of, text_bytes
+from tidewheel.llm._shared import column_list, in_arrow, mix64, slices_of, text_bytes
 
 #: A rank file is sent to every executor; larger ones are refused.
 MOST_RANK_BYTES = 64_000_000
 #: Merged slices that a worker remembers, in each of two generations.
 REMEMBERED = 200_000
-#: Characters of text scanned at once; a longer text is scanned alone.
+#: Characters of text scanned at once; longer texts are cut where white space follows, which ends a token whatever stands around it.
 SCAN_CHARS = 1 << 18
+#: Bytes of texts whose ids are held at once.
+SLICE = 2_000_000
 #: Bytes of a slice that still merges in a grid, and rows of a grid.
 WIDEST, SIDE_BY_SIDE = 64, 8192
 #: The rank of a pair that doesn't merge.
@@ -41,6 +44,9 @@ LETTER, NUMBER, OTHER, SPACE, WHITE, QUOTE, ONE, RV, ELL, EE = range(10)
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, AFTER_WHITE, QUOTED, QUOTED_RV, QUOTED_ELL, CONTRACTED = range(10)
 #: The code points with the property White_Space.
 WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+WHITE_CLASS = "".join(map(chr, WHITE_SPACE))
+#: A character that isn't white before one that is: no token goes on from the one to the other.
+BREAK = re.compile(f"[^{WHITE_CLASS}](?=[{WHITE_CLASS}])")
 
 
 def step(state: int, kind: int) -> int:
@@ -301,7 +307,9 @@ class Vocabulary:
         group: list[int] = []
         held = 0
         for i, text in enumerate(texts):
-            if text:
+            if len(text) > SCAN_CHARS:
+                ids[i], ends[i] = self._encode_long(text)
+            elif text:
                 if held + len(text) > SCAN_CHARS and group:
                     self._encode_group(texts, group, ids, ends)
                     group, held = [], 0
@@ -311,6 +319,23 @@ class Vocabulary:
             self._encode_group(texts, group, ids, ends)
         return ids, ends
 
+    def _encode_long(self, text: str) -> tuple[bytes, bytes]:
+        """encode() of one text in parts of about SCAN_CHARS characters."""
+        at = [0]
+        for m in BREAK.finditer(text):
+            if m.end() - at[-1] >= SCAN_CHARS:
+                at.append(m.end())
+        parts = [text[a:b] for a, b in zip(at, [*at[1:], len(text)], strict=True)]
+        ids, ends, base = [], [], 0
+        for k in range(len(parts)):
+            own_ids, own_ends = [b""] * len(parts), [b""] * len(parts)
+            self._encode_group(parts, [k], own_ids, own_ends)
+            stop = np.frombuffer(own_ends[k], "<u4") + np.uint32(base)
+            base = int(stop[-1])
+            ids.append(own_ids[k])
+            ends.append(stop.astype("<u4").tobytes())
+        return b"".join(ids), b"".join(ends)
+
     def _encode_group(self, texts: list[str], group: list[int], ids: list[bytes], ends: list[bytes]) -> None:
         text = "".join([texts[i] for i in group])
         sizes = np.array([len(texts[i]) for i in group])
@@ -380,14 +405,14 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", keep: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(ranks.value)
         for batch in batches:
-            for part in slices_of(batch, len(keep)):
-                ids, ends = v.encode([x.decode() for x in text_bytes(part.column(len(keep)))])
+            for part in slices_of(batch, len(keep), SLICE):
+                ids, ends = v.encode([x.decode(errors="replace") for x in text_bytes(part.column(len(keep)))])
                 columns = [*part.columns[:-1], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(ends, pa.binary())]
                 if decoded:
                     columns.append(pa.array([v.decode(a, b) for a, b in zip(ids, ends, strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", "ids", "ends", *["decoded"] * decoded])
 
-    return df.select(*keep, text).mapInArrow(run, f"{column_list(df, keep)}, n_tokens bigint, ids binary, ends binary" + ", decoded binary" * decoded)
+    return df.select(*keep, text).transform(in_arrow, run, f"{column_list(df, keep)}, n_tokens bigint, ids binary, ends binary" + ", decoded binary" * decoded)
 
 
 def decode(df: DataFrame, ranks_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -402,4 +427,4 @@ def decode(df: DataFrame, ranks_path: str, keep: tuple[str, ...] = ("doc_id",))
                 decoded = pa.array([v.decode(a, b) for a, b in zip(ids, ends, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], decoded], names=[*keep, "decoded"])
 
-    return df.select(*keep, "ids", "ends").mapInArrow(run, f"{column_list(df, keep)}, decoded binary")
+    return df.select(*keep, "ids", "ends").transform(in_arrow, run, f"{column_list(df, keep)}, decoded binary")

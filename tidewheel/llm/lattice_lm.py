@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm._shared import mix64, slices_of, text_bytes, written
+from tidewheel.llm._shared import in_arrow, mix64, slices_of, text_bytes, written
 
-#: Bytes of text in a block; words whose lattices are computed together; most pieces of a vocabulary; pseudo-counts of the existing scores.
-BLOCK_BYTES, TOGETHER, MOST_PIECES, PRIOR = 24_000_000, 8192, 1_000_000, 1000.0
+#: Bytes of text in a block, and coded at once; words whose lattices are computed together; most pieces of a vocabulary; pseudo-counts of the existing scores.
+BLOCK_BYTES, CODED_AT_ONCE, TOGETHER, MOST_PIECES, PRIOR = 24_000_000, 1_000_000, 8192, 1_000_000, 1000.0
 SPACE = "▁"
 
 
@@ -176,22 +176,33 @@ def coded(docs: DataFrame, held_out: Column, text: str, key: str) -> DataFrame:
     names = ["block", "ids", "held_out", "sizes", "codes", "words", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, ids, held, codes, size, id_type = Numbers(), [], [], [], 0, pa.int64()
+
+        def block() -> pa.RecordBatch:
+            train = [c for c, h in zip(codes, held, strict=True) if not h]
+            counts = np.bincount(np.concatenate(train) if train else np.empty(0, int), minlength=len(index))
+            row = [uuid.uuid4().int >> 65, ids, held, [len(c) for c in codes], zlib.compress(np.concatenate(codes).astype("<i4").tobytes(), 1), list(index), counts]
+            kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
+
         for batch in batches:
-            for part in slices_of(batch, 2, BLOCK_BYTES):
-                index = Numbers()
-                held = part.column(1).to_pylist()
-                codes = []
-                for x in text_bytes(part.column(2)):
+            for part in slices_of(batch, 2, CODED_AT_ONCE):
+                texts = text_bytes(part.column(2))
+                if ids and size + sum(map(len, texts)) > BLOCK_BYTES:
+                    yield block()
+                    index, ids, held, codes, size = Numbers(), [], [], [], 0
+                id_type = part.column(0).type
+                ids += part.column(0).to_pylist()
+                held += part.column(1).to_pylist()
+                size += sum(map(len, texts))
+                for x in texts:
                     found = x.lower().split()
                     codes.append(np.fromiter(map(index.__getitem__, found), np.int32, len(found)))
-                train = [c for c, h in zip(codes, held, strict=True) if not h]
-                counts = np.bincount(np.concatenate(train) if train else np.empty(0, int), minlength=len(index))
-                row = [uuid.uuid4().int >> 65, part.column(0).to_pylist(), held, [len(c) for c in codes], zlib.compress(np.concatenate(codes).astype("<i4").tobytes(), 1), list(index), counts]
-                kinds = [pa.int64(), pa.list_(part.column(0).type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
+        if ids:
+            yield block()
 
     rows = docs.select(F.col(key).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"block bigint, ids array<{kind}>, held_out array<boolean>, sizes array<int>, codes binary, words array<binary>, counts array<bigint>")
+    return rows.transform(in_arrow, run, f"block bigint, ids array<{kind}>, held_out array<boolean>, sizes array<int>, codes binary, words array<binary>, counts array<bigint>")
 
 
 @lru_cache(2)
@@ -223,7 +234,7 @@ def trained(lexicon: DataFrame, pieces: Pieces, ends: int) -> tuple[Pieces, floa
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.float64())], names=["piece", "uses"])
 
     # as many rows as there are pieces
-    rows = lexicon.where("c > 0").select("word", "c").mapInArrow(expect, "piece bigint, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
+    rows = lexicon.where("c > 0").select("word", "c").transform(in_arrow, expect, "piece bigint, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
     uses = PRIOR * np.exp(np.concatenate([pieces.weights, pieces.byte_weights]))
     uses[rows.piece.to_numpy(int)] += np.round(rows.uses.to_numpy(float), 6)
     end = max(ends, 1e-3)
@@ -248,7 +259,7 @@ def score(docs: DataFrame, held_out: Column, model_path: str, text: str = "text"
                 logs, _, _ = lattice(sent.value).run([x.decode(errors="replace") for x in batch.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], names=["word", "c", "log"])
 
-    known = lexicon.mapInArrow(weigh, "word binary, c bigint, log double")
+    known = lexicon.transform(in_arrow, weigh, "word binary, c bigint, log double")
     asked = blocks.select("block", F.posexplode("words").alias("at", "word"))
     of_block = asked.join(known, "word").groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("c").alias("c"), F.collect_list("log").alias("log"))
     joined = blocks.select("block", "ids", "held_out", "sizes", "codes").join(of_block, "block", "left")
@@ -277,4 +288,4 @@ def score(docs: DataFrame, held_out: Column, model_path: str, text: str = "text"
                 columns = [ids, held, pa.array(sizes.astype(np.int64) + 1), pa.array(known_), pa.array(np.full(len(sizes), n, np.int64)), pa.array(base), pa.array(mine)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(total, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return joined.transform(in_arrow, total, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -15,7 +15,9 @@ Two sets at the threshold itself share no bucket with a probability of at most M
 
 Null and empty texts, and texts without words, have an empty set, link with nothing and are kept. Fewer words
 than a shingle's length make one shingle of the whole sequence. Null ids join a group through their text; a
-group's component is its smallest id that isn't null. Rows that repeat an id are separate rows."""
+group's component is its smallest id that isn't null. Rows that repeat an id are separate rows. An empty table gives
+an empty one. Of `docs` only the two named columns are read, so further columns of any name do no harm. Ids may be
+of any type with an order, structs included."""
 
 from __future__ import annotations
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm._shared import BROADCAST_IDS, mix64, slices_of, text_bytes, written
+from tidewheel.llm._shared import dealt_join, in_arrow, mix64, slices_of, small, text_bytes, written
 from tidewheel.operators.components import components
 
 #: Minima in a band, low bits kept of each, most probable loss of a pair at the threshold.
@@ -136,7 +138,7 @@ def signatures(docs: DataFrame, percent: int, words: int, text: str = "text", ke
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node binary, bits array<bigint>, buckets array<bigint>")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).transform(in_arrow, run, f"doc_id {kind}, n_shingles bigint, node binary, bits array<bigint>, buckets array<bigint>")
 
 
 def sets_of(docs: DataFrame, words: int, wanted: DataFrame, text: str, key: str) -> DataFrame:
@@ -151,9 +153,8 @@ def sets_of(docs: DataFrame, words: int, wanted: DataFrame, text: str, key: str)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    rows = rows.join(some, "doc_id", "left_semi").unionByName(rows.where(F.col("doc_id").isNull()))
-    return rows.select("text").mapInArrow(run, "node binary, shingles array<bigint>")
+    rows = rows.join(small(wanted), "doc_id", "left_semi").unionByName(rows.where(F.col("doc_id").isNull()))
+    return rows.select("text").transform(in_arrow, run, "node binary, shingles array<bigint>")
 
 
 def equal_fields(a: str, b: str, k: int):
@@ -185,21 +186,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, text: st
     at least `percent` per cent), kept (whether that is its own id)."""
     k = bands_for(percent) * ROWS
     rows = written(signatures(docs, percent, words, text, key))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("buckets").alias("buckets"))
+    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("buckets").alias("buckets")))
     spread = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    met = spread.join(shared, "bucket")
-    weight = met.groupBy("node").agg(F.sum("members").alias("weight"))
+    shared = written(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    met = dealt_join(spread, shared, "bucket", shared, "node")
+    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
     # a hot bucket's members come as they lie; ties of weight fall to a scramble of the node
     members = written(met.select("bucket", "node").join(nodes.select("node", "least", "n", "bits", "buckets"), "node").join(weight, "node").withColumn("place", F.struct("weight", F.xxhash64("node"), "node")))
-    sets = written(sets_of(docs, words, members.select(F.col("least").alias("doc_id")).where("least is not null").distinct(), text, key).groupBy("node").agg(F.first("shingles").alias("shingles")))
+    wanted = written(members.select(F.col("least").alias("doc_id")).where("doc_id is not null").distinct())
+    sets = written(sets_of(docs, words, wanted, text, key).groupBy("node").agg(F.first("shingles").alias("shingles")))
 
     centre = members.groupBy("bucket").agg(F.max(F.struct("place", "node", "n", "bits")).alias("c"))
-    stars = members.join(centre, "bucket").where("node != c.node").select(F.col("c.node").alias("a"), F.col("c.n").alias("n_a"), F.col("c.bits").alias("bits_a"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    stars = dealt_join(members, centre, "bucket", shared, "node").where("node != c.node").select(F.col("c.node").alias("a"), F.col("c.n").alias("n_a"), F.col("c.bits").alias("bits_a"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     links = written(confirmed(stars.where(alike(percent, k)), sets, percent))
     groups = components(links)
 
-    open_ = unfinished(members, groups)
+    open_ = unfinished(members, groups, shared)
     for _ in range(PEELS):
         open_ = without_hopeless(open_, sets, percent)
     side = ["part", "node", "n", "bits", "u", "buckets"]
@@ -216,16 +218,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, text: st
     linked = groups.join(least, "root").select("node", "smallest")
     alone = nodes.select("node", F.col("least").alias("own"))
     of_node = alone.join(linked, "node", "left").select("node", F.coalesce("smallest", "own").alias("found"))
-    out = rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("found"))
+    # equal sets may be a third of all rows; the empty set has no node
+    rows = rows.select("doc_id", "n_shingles", "node", F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("doc_id", "n_shingles", "row", F.col("node").isNull().alias("empty"), F.coalesce("node", F.col("row").cast("string").cast("binary")).alias("node"))
+    out = dealt_join(rows, of_node, "node", nodes.select("node", F.col("copies").alias("n")), "row", "left")
+    component = F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("found"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def unfinished(members: DataFrame, groups: DataFrame) -> DataFrame:
+def unfinished(members: DataFrame, groups: DataFrame, shared: DataFrame) -> DataFrame:
     """The members, with the part (component) of each, of buckets that hold more than one part."""
-    parts = members.join(groups, "node", "left").withColumn("part", F.coalesce("root", "node"))
-    several = parts.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("bucket")
-    return written(parts.join(several, "bucket").select("bucket", "node", "part", "n", "bits", "buckets"))
+    parts = written(members.join(groups, "node", "left").withColumn("part", F.coalesce("root", "node")).select("bucket", "node", "part", "n", "bits", "buckets"))
+    several = written(parts.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("bucket"))
+    return written(dealt_join(parts, several, "bucket", shared, "node"))
 
 
 def without_hopeless(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -235,8 +240,8 @@ def without_hopeless(open_: DataFrame, sets: DataFrame, percent: int) -> DataFra
     u / (n + m - u), and at most u / n with any smaller one; m is at least the least size in the node's buckets."""
     if "u" in open_.columns:
         open_ = open_.drop("u")
-    smallest = open_.groupBy("bucket").agg(F.min("n").alias("m"))
-    nodes = open_.join(smallest, "bucket").groupBy("node").agg(F.first("n").alias("n"), F.min("m").alias("m"))
+    smallest = written(open_.groupBy("bucket").agg(F.min("n").alias("m"), F.count("*").alias("n")))
+    nodes = dealt_join(open_.select("bucket", "node", F.col("n").alias("own")), smallest.select("bucket", "m"), "bucket", smallest, "node").withColumnRenamed("own", "n").groupBy("node").agg(F.first("n").alias("n"), F.min("m").alias("m"))
     left = sets.join(nodes.select("node"), "node", "left_semi")
     each = left.select("node", F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").select("shingle")

@@ -7,7 +7,8 @@ are compiled into one column expression. Labels, lang, source and ids are never
 
 Null and empty texts have the statistics of an empty text and are scored like any other. Without labelled rows
 of both kinds the score is the smoothed share of good ones. Conflicting labels of an id count as good; null ids
-have no label. Ties of split quality go to the first statistic and the lowest threshold, so reruns agree."""
+have no label. Ties of split quality go to the first statistic and the lowest threshold, so reruns agree. An empty
+table gives an empty one; repeated rows are scored one by one."""
 
 from __future__ import annotations
 
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm._shared import sampled_labels
+from tidewheel.llm._shared import sampled_labels, without
 
 #: Labelled rows used at most; trees, their depth, shrinkage, candidate thresholds of a statistic, rows on either side of a split.
 SAMPLE, TREES, DEPTH, SHRINK, BINS, LEAST_ROWS = 20_000, 40, 3, 0.3, 32, 8
@@ -27,10 +28,12 @@ STATISTICS = ("chars", "words", "word_length", "upper", "digits", "symbols", "ba
 
 
 def statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """`df` with the struct column `stat`, one double for each of STATISTICS; each pass over the text is made once."""
+    """`df` with the struct column `stat` (a column of that name gives way), one double for each of STATISTICS; each
+    pass over the text is made once."""
+    df = without(df, "stat")
     t = F.coalesce(F.col(text), F.lit(""))
 
-    def without(drop: str) -> Column:
+    def except_(drop: str) -> Column:
         return F.length("text__") - F.length(F.translate("text__", drop, ""))
 
     def parts(pattern: str) -> Column:
@@ -39,8 +42,8 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     step = df.withColumn("text__", t)
     step = step.withColumns({
         "n__": F.length("text__"), "bytes__": F.octet_length("text__"),
-        "upper__": without("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits__": without("0123456789"), "symbols__": without("#$%&*@^~<>{}[]\\=_+"),
-        "bars__": without("|"), "shouts__": without("!?"), "stops__": without(".,;:"), "spaces__": without(" \t\n"),
+        "upper__": except_("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits__": except_("0123456789"), "symbols__": except_("#$%&*@^~<>{}[]\\=_+"),
+        "bars__": except_("|"), "shouts__": except_("!?"), "stops__": except_(".,;:"), "spaces__": except_(" \t\n"),
         "words__": parts("[ \\t-\\r]+"), "lines__": parts("\n"), "sentences__": parts("[.!?\\n] *"),
     })
     step = step.withColumns({f"{x}_all__": F.size(f"{x}__") for x in ("words", "lines", "sentences")} | {f"{x}_own__": F.size(F.array_distinct(f"{x}__")) for x in ("words", "lines", "sentences")})
@@ -178,5 +181,5 @@ def compiled(model: Rules, stat: str = "stat") -> Column:
 
 
 def score(docs: DataFrame, model: Rules, text: str = "text") -> DataFrame:
-    """`docs` with stat and quality, the probability of good quality."""
-    return statistics(docs, text).withColumn("quality", compiled(model))
+    """`docs` with stat and quality, the probability of good quality; columns of these names give way."""
+    return statistics(without(docs, "quality"), text).withColumn("quality", compiled(model))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewheel.llm._shared import BROADCAST_IDS, written
+from tidewheel.llm._shared import in_arrow, small, written
 
 #: Distinct vectors that the trees are fitted on at most; trees; rows a leaf should hold; least sample rows of a leaf; leaves that a query visits at least, and as a share of all.
 SAMPLE, TREES, LEAF, LEAST_LEAF, PROBES, PROBE_SHARE = 40_000, 8, 128, 16, 96, 0.125
@@ -165,7 +165,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", v
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.leaves_of(matrix(batch.column(1))).tolist(), pa.list_(pa.int64()))], names=["entry", "embedding", "leaves"])
 
     plain = entries.select("entry", "embedding")
-    stored = written(plain.mapInArrow(place, "entry bigint, embedding array<double>, leaves array<bigint>"))
+    stored = written(plain.transform(in_arrow, place, "entry bigint, embedding array<double>, leaves array<bigint>"))
     # as many counters as there are leaves, which the sample bounds
     held = {r.leaf: r.n for r in stored.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     cells = np.ones(max(held) + 1, np.int64)
@@ -192,7 +192,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", v
                 taken = part.take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(lists, pa.list_(pa.int64())), pa.array(of, pa.int64())], names=["entry", "embedding", "cells", "group"])
 
-    visits = entries.where("asked").select("entry", "embedding").mapInArrow(walk, "entry bigint, embedding array<double>, cells array<bigint>, group bigint")
+    visits = entries.where("asked").select("entry", "embedding").transform(in_arrow, walk, "entry bigint, embedding array<double>, cells array<bigint>, group bigint")
     visits = visits.withColumn("turn", F.pmod(F.xxhash64("entry", F.lit(SEED)), F.lit(max(1, turns))).cast("int"))
 
     def rank(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -234,7 +234,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", v
     found = short.join(entries.select(F.col("entry").alias("query"), "embedding"), "query")
     answers = found.groupBy("query", "embedding").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("list"))
     answers = written(answers)
-    small = F.broadcast(answers) if answers.count() <= BROADCAST_IDS // 100 else answers
-    out = asked.withColumnRenamed("vec_id", "query_id").join(small, "embedding")
+    out = asked.withColumnRenamed("vec_id", "query_id").join(answers, "embedding")
     others = F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return out.select("query_id", F.posexplode(others).alias("i", "x")).select("query_id", (F.col("i") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))

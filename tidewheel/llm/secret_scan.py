@@ -14,7 +14,7 @@ a candidate that touches one is also tried in the pieces that base spans leave o
 
 Positions count code points, ends are exclusive. Null and empty texts have no spans. A text is scanned whole;
 its work grows with its length and its number of matches. Rows stand alone but for the counters, so nulls and
-repeats of ids do no harm."""
+repeats of ids do no harm. An empty table gives an empty one; columns that aren't kept may have any name."""
 
 from __future__ import annotations
 
@@ -162,8 +162,10 @@ def candidates(df: DataFrame, text: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, base and spans: arrays of (start, end, kind), sorted by start and then by kind in the order assign, access, hex, random."""
-    df = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text__"))
+    """`keep`, base and spans: arrays of (start, end, kind), sorted by start and then by kind in the order assign,
+    access, hex, random. Kept columns named base or spans give way to these."""
+    kept = F.struct(*[f"`{c}`" for c in keep if c.lower() not in ("base", "spans")])
+    df = docs.select(kept.alias("kept__"), F.coalesce(F.col(text), F.lit("")).alias("text__"))
     for kind, (pattern, least) in BASE.items():
         df = located(df, "text__", kind, pattern, 1 if kind == "assign" else None)
         if kind == "assign":
@@ -176,7 +178,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     added = F.expr(f"transform(filter(cands, x -> not x.base and ({passed})), x -> struct(x.start as start, {len(BASE)} as rank, x.end as end, 'random' as kind))")
     plain = "transform({}, x -> struct(x.start as start, x.end as end, x.kind as kind))"
     df = df.withColumn("spans__", F.array_sort(F.concat("base__", added)))
-    return df.select(*keep, F.expr(plain.format("base__")).alias("base"), F.expr(plain.format("spans__")).alias("spans"))
+    return df.select("kept__.*", F.expr(plain.format("base__")).alias("base"), F.expr(plain.format("spans__")).alias("spans"))
 
 
 def least_bins(df: DataFrame) -> dict[int, int]:

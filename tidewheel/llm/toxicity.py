@@ -9,7 +9,8 @@ whole text and adds the weights of the distinct features found.
 
 Null and empty texts have no n-grams and get the score of the intercept. Without labelled rows of both kinds the
 score is the smoothed share of toxic ones, (toxic + 1) / (rows + 2). Rows are scored one by one, so repeated ids
-and texts do no harm; conflicting labels of an id count as toxic; null ids have no label."""
+and texts do no harm; conflicting labels of an id count as toxic; null ids have no label. An empty table gives an
+empty one."""
 
 from __future__ import annotations
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm._shared import column_list, mix64, sampled_labels, slices_of, text_bytes, written
+from tidewheel.llm._shared import column_list, in_arrow, mix64, sampled_labels, slices_of, text_bytes, written
 
 #: Characters of an n-gram, hashed buckets, features kept, labelled rows used at most.
 ORDERS, BUCKETS, FEATURES, SAMPLE = (4, 5, 6), 1 << 20, 6000, 16_000
@@ -83,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMP
     if not toxic or not clean:
         share = (toxic + 1) / (toxic + clean + 2)
         return Model(float(np.log(share / (1 - share))), np.empty(0, np.int64), np.empty(0))
-    seen = rows.select("label", "text").mapInArrow(counts, "bucket bigint, toxic bigint, clean bigint").groupBy("bucket").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where(F.col("t") + F.col("c") >= LEAST_TEXTS)
+    seen = rows.select("label", "text").transform(in_arrow, counts, "bucket bigint, toxic bigint, clean bigint").groupBy("bucket").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where(F.col("t") + F.col("c") >= LEAST_TEXTS)
     off = F.col("t") * F.lit(float(clean)) - F.col("c") * F.lit(float(toxic))
     chi = off * off / ((F.col("t") + F.col("c")) * F.lit(float(toxic * clean)) * (F.lit(float(toxic + clean)) - F.col("t") - F.col("c") + 1e-9))
     best = seen.withColumn("chi", chi).orderBy(F.desc("chi"), "bucket").limit(FEATURES).toPandas().sort_values("bucket")
@@ -103,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMP
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([found[a:b].astype("<u4").tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], names=["doc_id", "label", "features"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    table = rows.mapInArrow(present, f"doc_id {kind}, label int, features binary").toPandas()
+    table = rows.transform(in_arrow, present, f"doc_id {kind}, label int, features binary").toPandas()
     table = table.sort_values(["doc_id", "features"])
     lists = [np.frombuffer(x, "<u4") for x in table.features]
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
@@ -148,8 +149,9 @@ def logistic(row: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndarr
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """`keep` and toxicity, the probability that a text is toxic."""
+    """`keep` and toxicity, the probability that a text is toxic; a kept column of that name gives way to it."""
     intercept, buckets, weights = model
+    keep = tuple(c for c in keep if c.lower() != "toxicity")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.zeros(BUCKETS)
@@ -163,4 +165,4 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
                 z = intercept + np.bincount(own, weight[found], part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())], names=[*keep, "toxicity"])
 
-    return docs.select(*keep, text).mapInArrow(run, f"{column_list(docs, keep)}, toxicity double")
+    return docs.select(*keep, F.col(text).alias("text__")).transform(in_arrow, run, f"{column_list(docs, keep)}, toxicity double")

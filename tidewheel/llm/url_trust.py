@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm._shared import BROADCAST_IDS, ascii_lower, written
+from tidewheel.llm._shared import ascii_lower, small, written
 
 #: Share of a value that moves on in a round, most rounds, change of all values at which they end, excess of distrust that blocks.
 DAMPING, ROUNDS, STILL, THRESHOLD = 0.85, 30, 1e-4, 0.5
@@ -87,8 +87,7 @@ def judge(pages: DataFrame, rules: Rules, url: str = "url", html: str = "html",
     seeds = ruled.where("host != ''").groupBy("host").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("ruling__") == v, 1)).alias(v) for v in ("allow", "block")])
     seeds = seeds.select("host", (F.col("allow") / F.col("n")).alias("trusted"), (F.col("block") / F.col("n")).alias("blocked"))
     values = written(propagate(seeds, link_hosts(src, "html__")))
-    small = F.broadcast(values) if values.count() <= BROADCAST_IDS else values
-    out = ruled.drop("html__").join(small, "host", "left")
+    out = ruled.drop("html__").join(small(values), "host", "left")
     trust, distrust = (F.coalesce(x, F.lit(0.0)) for x in ("trust", "distrust"))
     found = F.coalesce("ruling__", F.when(distrust - trust >= THRESHOLD, "block").otherwise("allow"))
     return out.select(*keep, "host", "path", "rule", found.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
