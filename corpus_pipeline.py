@@ -2,16 +2,19 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, and all but the last
 keep the columns of documents. run() applies them to the documents table with a written table between stages.
-Rows without an id pass the near-duplicate and mixing stages only as far as their group or source decides it: a
-null id is never joined, so such rows stay as they are."""
+
+Decisions about rows are found by a key of the id and a hash of all columns, so rows that share an id, or have none,
+are judged by their own text; rows that are equal in all columns count as one document from the second stage on. Null
+and empty texts are never toxic by themselves, near no other text and without secrets; having no words, they aren't
+taken by the mix. Further columns may have any name. Empty tables give empty tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import apportion_mix, byte_bpe, near_dup, secret_scan, toxicity
-from tidewheel.llm._shared import BROADCAST_IDS, written
+from tidewheel.llm._shared import small, written
 from tidewheel.llm.queries import rank_file
 from tidewheel.sources.tables import table
 
@@ -19,42 +22,51 @@ from tidewheel.sources.tables import table
 TOXIC, SIMILAR = 0.7, 80
 
 
-def small(df: DataFrame) -> DataFrame:
-    """`df`, to be broadcast if it has few rows, else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+def row_key(docs: DataFrame) -> Column:
+    """Whether the id is null, the id, and a hash of all columns: in this order, so that the smallest id comes first."""
+    hashed = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*hashed).alias("rest"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """row (all columns in one), doc_id, text, source and the row's key, so that no column meets a name in use."""
+    return docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), row_key(docs).alias("key"), "doc_id", "text", "source")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier, learnt from all labels of documents at hand, finds toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(False))
-    scored = toxicity.score(docs, model, keep=tuple(docs.columns))
-    return scored.where(F.col("toxicity") < TOXIC).select(*docs.columns)
+    return toxicity.score(packed(docs), model, keep=("row",)).where(F.col("toxicity") < TOXIC).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id; of rows that repeat its id, one."""
-    found = written(near_dup.near_duplicates(docs, percent=SIMILAR).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")))
-    out = docs.join(small(found.where(~F.col("kept")).select("doc_id")), "doc_id", "left_anti")
-    repeated = found.where("kept and rows > 1").select("doc_id")
+    """One document of each group: the one with the smallest id, of several texts under that id the first by hash; of equal rows one."""
+    rows = packed(docs)
+    found = near_dup.near_duplicates(rows.select("key", "text"), percent=SIMILAR, key="key")
+    found = written(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("key"))
+    out = rows.join(small(gone), "key", "left_anti")
+    repeated = found.where("kept and n > 1").select(F.col("doc_id").alias("key"))
     if not repeated.isEmpty():
         repeated = small(repeated)
-        once = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(repeated, "doc_id", "left_anti").unionByName(once)
-    return out.select(*docs.columns)
+        once = out.join(repeated, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+        out = out.join(repeated, "key", "left_anti").select("key", "row").unionByName(once)
+    return out.select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced by a mark and n_chars counted anew."""
-    found = secret_scan.scan(docs, keep=tuple(docs.columns))
-    return secret_scan.redact(found).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0))).select(*docs.columns)
+    """All documents, with every secret replaced by a mark and n_chars, if there is such a column, counted anew."""
+    found = secret_scan.redact(secret_scan.scan(packed(docs), keep=("row", "text")))
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text").cast("long"), F.lit(0))}
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: the words taken over its size, to the nearest whole number."""
-    taken = apportion_mix.mix(docs).where("doc_id is not null and taken > 0")
-    copies = written(taken.groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")).alias("copies")).where("copies > 0"))
-    out = docs.join(small(copies), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
-    return out.unionByName(docs.where("doc_id is null"))
+    rows = packed(docs)
+    taken = apportion_mix.mix(rows.select(F.col("key").alias("doc_id"), "source", "text")).where("taken > 0")
+    copies = written(taken.groupBy("doc_id").agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("copies")).where("copies > 0").withColumnRenamed("doc_id", "key"))
+    return rows.join(small(copies), "key").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
