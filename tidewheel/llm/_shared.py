@@ -14,7 +14,7 @@ from tidewheel.sources.shared import written
 
 #: A word: a longest run of bytes that are neither a space nor TAB..CR.
 WORD = r"[^\x20\x09-\x0D]+"
-__all__ = ["BROADCAST_BYTES", "HOT", "WORD", "ascii_lower", "column_list", "dealt_join", "in_arrow", "mix64", "remainder", "sampled_labels", "slices_of", "small", "text_bytes", "without", "written"]
+__all__ = ["BROADCAST_BYTES", "HOT", "WORD", "ascii_lower", "column_list", "dealt_join", "hot_keys", "in_arrow", "mix64", "remainder", "sampled_labels", "slices_of", "small", "text_bytes", "without", "written"]
 
 #: Bytes that may be broadcast at most; beyond this the same join runs shuffled. Rows of a key from which a join deals it out.
 BROADCAST_BYTES, HOT = 32_000_000, 500
@@ -81,22 +81,25 @@ def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
 
 def small(df: DataFrame) -> DataFrame:
     """`df`, best a written table, to be broadcast if all its rows together have at most BROADCAST_BYTES, else as it is."""
-    size = F.lit(16 * len(df.columns))
+    size = F.lit(16 * len(df.columns) + 48 * sum(f.dataType.typeName() in ("struct", "array", "map") for f in df.schema))
     for f in df.schema:
         if f.dataType.simpleString() in ("string", "binary"):
             size = size + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
-def dealt_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, by: str, how: str = "inner") -> DataFrame:
+def hot_keys(sizes: DataFrame, key: str) -> DataFrame | None:
+    """The keys of `sizes` (key, n), a written table, with over HOT rows, and the number of parts to deal them over; None if there is none."""
+    hot = sizes.where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("parts__"))
+    return None if hot.isEmpty() else small(hot)
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, by: str, how: str = "inner") -> DataFrame:
     """`left` joined with `right`, which has one row for each `key`, where a key may have a third of all rows.
 
-    `sizes` (key, n), a written table, has the rows of each key of `left`. A key with over HOT of them is dealt, by
-    a hash of the column `by`, over n / HOT parts of the join, and its row of `right` is repeated for each part."""
-    hot = sizes.where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("parts__"))
-    if hot.isEmpty():
+    The rows of a `hot` key are dealt over its parts by a hash of the column `by`; its row of `right` is repeated for each part."""
+    if hot is None:
         return left.join(right, key, how)
-    hot = small(hot)
     part = F.coalesce(F.pmod(F.xxhash64(by), F.col("parts__")).cast("int"), F.lit(0))
     left = left.join(hot, key, "left").withColumn("part__", part).drop("parts__")
     right = right.join(hot, key, "left").withColumn("part__", F.explode(F.sequence(F.lit(0), F.coalesce("parts__", F.lit(1)) - 1))).drop("parts__")

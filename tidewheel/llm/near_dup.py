@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm._shared import dealt_join, in_arrow, mix64, slices_of, small, text_bytes, written
+from tidewheel.llm._shared import dealt_join, hot_keys, in_arrow, mix64, slices_of, small, text_bytes, written
 from tidewheel.operators.components import components
 
 #: Minima in a band, low bits kept of each, most probable loss of a pair at the threshold.
@@ -189,21 +189,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, text: st
     nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("buckets").alias("buckets")))
     spread = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = written(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    met = dealt_join(spread, shared, "bucket", shared, "node")
+    hot = hot_keys(shared, "bucket")
+    met = dealt_join(spread, shared, "bucket", hot, "node")
     weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
     # a hot bucket's members come as they lie; ties of weight fall to a scramble of the node
     members = written(met.select("bucket", "node").join(nodes.select("node", "least", "n", "bits", "buckets"), "node").join(weight, "node").withColumn("place", F.struct("weight", F.xxhash64("node"), "node")))
-    wanted = written(members.select(F.col("least").alias("doc_id")).where("doc_id is not null").distinct())
+    wanted = members.select(F.col("least").alias("doc_id")).where("doc_id is not null").distinct()
     sets = written(sets_of(docs, words, wanted, text, key).groupBy("node").agg(F.first("shingles").alias("shingles")))
 
     centre = members.groupBy("bucket").agg(F.max(F.struct("place", "node", "n", "bits")).alias("c"))
-    stars = dealt_join(members, centre, "bucket", shared, "node").where("node != c.node").select(F.col("c.node").alias("a"), F.col("c.n").alias("n_a"), F.col("c.bits").alias("bits_a"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    stars = dealt_join(members, centre, "bucket", hot, "node").where("node != c.node").select(F.col("c.node").alias("a"), F.col("c.n").alias("n_a"), F.col("c.bits").alias("bits_a"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     links = written(confirmed(stars.where(alike(percent, k)), sets, percent))
     groups = components(links)
 
-    open_ = unfinished(members, groups, shared)
+    open_ = unfinished(members, groups, hot)
     for _ in range(PEELS):
-        open_ = without_hopeless(open_, sets, percent)
+        open_ = without_hopeless(open_, sets, percent, hot)
     side = ["part", "node", "n", "bits", "u", "buckets"]
     left = open_.select("bucket", *[F.col(x).alias(f"{x}_a") for x in side])
     right = open_.select(F.col("bucket").alias("bucket_b"), *[F.col(x).alias(f"{x}_b") for x in side])
@@ -221,27 +222,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, text: st
     # equal sets may be a third of all rows; the empty set has no node
     rows = rows.select("doc_id", "n_shingles", "node", F.monotonically_increasing_id().alias("row"))
     rows = rows.select("doc_id", "n_shingles", "row", F.col("node").isNull().alias("empty"), F.coalesce("node", F.col("row").cast("string").cast("binary")).alias("node"))
-    out = dealt_join(rows, of_node, "node", nodes.select("node", F.col("copies").alias("n")), "row", "left")
+    out = dealt_join(rows, of_node, "node", hot_keys(nodes.select("node", F.col("copies").alias("n")), "node"), "row", "left")
     component = F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("found"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def unfinished(members: DataFrame, groups: DataFrame, shared: DataFrame) -> DataFrame:
+def unfinished(members: DataFrame, groups: DataFrame, hot: DataFrame | None) -> DataFrame:
     """The members, with the part (component) of each, of buckets that hold more than one part."""
-    parts = written(members.join(groups, "node", "left").withColumn("part", F.coalesce("root", "node")).select("bucket", "node", "part", "n", "bits", "buckets"))
-    several = written(parts.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("bucket"))
-    return written(dealt_join(parts, several, "bucket", shared, "node"))
+    parts = members.join(groups, "node", "left").withColumn("part", F.coalesce("root", "node")).select("bucket", "node", "part", "n", "bits", "buckets")
+    several = parts.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("bucket")
+    return written(dealt_join(parts, several, "bucket", hot, "node"))
 
 
-def without_hopeless(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def without_hopeless(open_: DataFrame, sets: DataFrame, percent: int, hot: DataFrame | None) -> DataFrame:
     """Drop nodes that can have no link, and give the others u, the number of their shingles in other remaining sets.
 
     An intersection is at most u, so with another set of m shingles, m >= u, the similarity is at most
     u / (n + m - u), and at most u / n with any smaller one; m is at least the least size in the node's buckets."""
     if "u" in open_.columns:
         open_ = open_.drop("u")
-    smallest = written(open_.groupBy("bucket").agg(F.min("n").alias("m"), F.count("*").alias("n")))
-    nodes = dealt_join(open_.select("bucket", "node", F.col("n").alias("own")), smallest.select("bucket", "m"), "bucket", smallest, "node").withColumnRenamed("own", "n").groupBy("node").agg(F.first("n").alias("n"), F.min("m").alias("m"))
+    smallest = open_.groupBy("bucket").agg(F.min("n").alias("m"))
+    nodes = dealt_join(open_.select("bucket", "node", "n"), smallest, "bucket", hot, "node").groupBy("node").agg(F.first("n").alias("n"), F.min("m").alias("m"))
     left = sets.join(nodes.select("node"), "node", "left_semi")
     each = left.select("node", F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").select("shingle")
