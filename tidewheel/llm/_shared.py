@@ -18,6 +18,8 @@ __all__ = ["BROADCAST_BYTES", "HOT", "WORD", "ascii_lower", "column_list", "deal
 
 #: Bytes that may be broadcast at most; beyond this the same join runs shuffled. Rows of a key from which a join deals it out.
 BROADCAST_BYTES, HOT = 32_000_000, 500
+#: Bytes that an Arrow batch on its way to a worker should hold; Spark's own bound of 64 MB is too much beside a worker's tables.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -75,7 +77,9 @@ def column_list(df: DataFrame, keep: tuple[str, ...]) -> str:
 
 
 def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow, in the form of a step of transform()."""
+    """mapInArrow over batches of bounded bytes: a session that hasn't set a bound of its own gets BATCH_BYTES."""
+    if not df.sparkSession._jsparkSession.sessionState().conf().contains(BATCH_SETTING):
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
     return df.mapInArrow(run, schema)
 
 

@@ -28,11 +28,11 @@ from tidewheel.llm._shared import column_list, in_arrow, mix64, slices_of, text_
 #: A rank file is sent to every executor; larger ones are refused.
 MOST_RANK_BYTES = 64_000_000
 #: Merged slices that a worker remembers, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 #: Characters of text scanned at once; longer texts are cut where white space follows, which ends a token whatever stands around it.
 SCAN_CHARS = 1 << 18
 #: Bytes of texts whose ids are held at once.
-SLICE = 2_000_000
+SLICE = 1_000_000
 #: Bytes of a slice that still merges in a grid, and rows of a grid.
 WIDEST, SIDE_BY_SIDE = 64, 8192
 #: The rank of a pair that doesn't merge.
