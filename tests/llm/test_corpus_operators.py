@@ -188,3 +188,25 @@ def test_propagation_against_iteration(spark):
     want = np.linalg.solve(np.eye(n) - 0.85 * m.T, seed)
     got = {x.host: x.trust for x in url_trust.propagate(seeds, links).collect()}
     assert np.allclose([got[f"h{i}"] for i in range(n)], want, rtol=0.02)
+
+
+def test_search_visits_few_rows_of_clustered_vectors(spark):
+    """20,000 vectors in clusters: over nine tenths of the neighbours from under three tenths of the rows."""
+    r = np.random.default_rng(1)
+    x = np.repeat(r.normal(size=(400, 32)), 50, 0) + 0.4 * r.normal(size=(20_000, 32))
+    df = spark.createDataFrame(__import__("pandas").DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}))
+    out = rp_forest.nearest(df, F.col("vec_id") % 500 == 0, 20).toPandas()
+    asked = np.arange(0, len(x), 500)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-s, axis=1)[:, :20]
+    assert np.mean([len(set(w) & set(out[out.query_id == q].vec_id)) / 20 for q, w in zip(asked, want, strict=True)]) >= 0.9
+
+    forest = rp_forest.grow(x, len(x) // rp_forest.LEAF, rp_forest.TREES, float(np.linalg.norm(x, axis=1).max()))
+    leaves = forest.leaves_of(x)
+    places = np.concatenate([forest.places_of(x[q], leaves[w]) for q, w in zip(asked, want, strict=True)])
+    probes = int(np.quantile(places, rp_forest.RECALL, method="higher"))
+    visited = [np.isin(leaves, own).any(1) for own in forest.probes_of(x[asked], probes)]
+    assert np.mean(visited) <= 0.3
+    held = np.mean([v[w].mean() for v, w in zip(visited, want, strict=True)])
+    assert held >= rp_forest.RECALL - 0.01  # the places are those at which the queue comes to the leaves
