@@ -109,9 +109,7 @@ def test_lattice_against_enumeration():
         return 1.0 if not s else sum(p[s[:k]] * whole(s[k:]) for k in range(1, len(s) + 1) if s[:k] in p) + (whole(s[1:]) * (0.1 / 256) ** len(s[0].encode()) if s[0] not in p else 0)
 
     words = ["a", "abab", "bé", "", "aab"]
-    logs, used, _ = lattice_lm.Lattice(pieces).run(words, np.ones(len(words)))
-    assert np.allclose(logs, [math.log(whole("▁" + w)) for w in words])
-    assert used.sum() > 0
+    assert np.allclose(lattice_lm.Lattice(pieces).run(words), [math.log(whole("▁" + w)) for w in words])
 
 
 def test_language_model_edges(spark):
@@ -123,10 +121,21 @@ def test_language_model_edges(spark):
     for _, t in train:
         for w in [*(t or "").split(), None]:
             counts[w] = counts.get(w, 0) + 1
-    n, v = sum(counts.values()), len(counts)
+    n, v, ends = sum(counts.values()), len(counts), len(train)
+    model, end = lattice_lm.Lattice(lattice_lm.read_pieces(queries.rank_file("piece_bpe_32k.model"))), (ends + 1) / (n + 2)
+    log = dict(zip(counts, model.run([w or "" for w in counts]), strict=True))
+
+    def left_out(share):
+        return sum(c * np.logaddexp(math.log(share * (c - 1) / (n - ends - 1)) if c > 1 else -np.inf, math.log(1 - share) + log[w]) for w, c in counts.items() if w is not None)
+
+    share = max(lattice_lm.SHARES, key=left_out)
     for x in out:
         words = [*(dict(EDGES)[x.doc_id] or "").split(), None]
         assert x.train_tokens == n and x.n_tokens == len(words) and x.score < 0
+        spelt = dict(zip(words, np.exp(model.run([w or "" for w in words])), strict=True))
+        own = [math.log10(1 - end) + math.log10(share * counts.get(w, 0) / (n - ends) + (1 - share) * max(spelt[w], 1e-300)) for w in words[:-1] if spelt[w] > 0]
+        if len(own) == len(words) - 1:
+            assert math.isclose(x.score, sum(own) + math.log10(end), rel_tol=1e-9)
         assert math.isclose(x.base_score, sum(math.log10((counts.get(w, 0) + 1) / (n + 1 * (v + 1))) for w in words))
     assert lattice_lm.score(df.limit(0), F.lit(False), queries.rank_file("piece_bpe_32k.model")).count() == 0
 

@@ -1,17 +1,25 @@
 """Scoring texts with a unigram lattice over an existing subword vocabulary, beside a smoothed word unigram.
 
-Training counts every word of the training texts. The pieces of the vocabulary start with weights from their
-existing scores; every different word's lattice of segmentations then gives expected counts of pieces (forward and
-backward recursion in log space), weighted by the word's count and summed over the whole corpus, and these are the
-pieces' probabilities. A text's score is the log10 of its marginal probability: over all segmentations of all its
-words (no piece crosses white space; a character without a piece goes by its bytes), and the end.
+The pieces of the vocabulary have the weights of their existing scores, and a word's probability by them is the
+marginal over all its segmentations (forward recursion in log space; no piece crosses white space; a character
+without a piece goes by its bytes). The lattice of a word has one more edge, over the whole word, weighted by the
+word's count c among the N words of the training texts:
+
+    P(word) = (1 - P(end)) * (SHARE * c / N + (1 - SHARE) * marginal over pieces)
+
+SHARE is the one of SHARES that makes the training words likeliest when each leaves itself out, (c - 1) / (N - 1),
+so it is learnt from all training texts; P(end) = (texts + 1) / (texts + N + 2). A text's score is the log10 of the
+product over its words and its end.
 
 Texts are coded once, in blocks: a block holds its different words and, for each text, the words' numbers. So what
-is shuffled is each block's words, never each token: a word as frequent as a third of all tokens is one row a
-block. Counts return to the blocks by number, and a text's sums are made where its block is.
+is shuffled is each block's words, never each token. Counts return to the blocks by number: the words of most blocks
+by a broadcast of at most FREQUENT of them, the others by a join, so no word is hot in it. A text's sums are made
+where its block is.
 
 Null and empty texts are just the end token. Held-out rows are scored but not counted. Null ids train or not by
-the crc32 of an empty text. Rows that repeat an id are separate texts. Without training texts all counts are 0."""
+the crc32 of an empty text. Rows that repeat an id are separate texts. Without training texts all counts are 0 and
+SHARE is 0. An empty table gives an empty one. Bytes that are no UTF-8 count as U+FFFD in pieces. Only the two named
+columns are read, so others may have any name."""
 
 from __future__ import annotations
 
@@ -29,8 +37,10 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm._shared import in_arrow, mix64, slices_of, text_bytes, written
 
-#: Bytes of text in a block, and coded at once; words whose lattices are computed together; most pieces of a vocabulary; pseudo-counts of the existing scores.
-BLOCK_BYTES, CODED_AT_ONCE, TOGETHER, MOST_PIECES, PRIOR = 24_000_000, 1_000_000, 8192, 1_000_000, 1000.0
+#: Bytes of text in a block, and coded at once; bytes of words weighed at once; words whose lattices are computed together; most pieces of a vocabulary.
+BLOCK_BYTES, CODED_AT_ONCE, WEIGHED_AT_ONCE, TOGETHER, MOST_PIECES = 24_000_000, 1_000_000, 250_000, 8192, 1_000_000
+#: Words broadcast at most, of 64 bytes at most each; shares of the whole-word edges to choose from.
+FREQUENT, SHARES = 100_000, (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.998, 0.999)
 SPACE = "▁"
 
 
@@ -88,32 +98,29 @@ class Lattice:
             h = h * np.uint64(0x9E3779B97F4A7C15) + codes[:, j]
         return mix64(h)
 
-    def edges(self, codes: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """For each length: piece numbers (-1: none) and weights at each start; and where bytes stand in for a character."""
+    def edges(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For each length of pieces, the weights at each start (-inf: no piece); bytes stand in for a character without a piece."""
         n = codes.shape[1]
-        ids, weights = [], []
-        rolled = np.zeros(codes.shape, np.uint64)
+        weights, rolled = [], np.zeros(codes.shape, np.uint64)
         for length in range(1, min(n, self.longest) + 1):
             rolled = rolled[:, : n - length + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[:, length - 1 :]
-            found = np.full(rolled.shape, -1)
+            weight = np.full(rolled.shape, -np.inf)
             if length in self.tables:
                 known, number = self.tables[length]
                 h = mix64(rolled)
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                found = np.where(known[at] == h, number[at], -1)
-            ids.append(found)
-            weights.append(np.where(found >= 0, self.pieces.weights[found], -np.inf))
-        bare = ids[0] < 0
+                weight = np.where(known[at] == h, self.pieces.weights[number[at]], -np.inf)
+            weights.append(weight)
+        bare = weights[0] == -np.inf
         if bare.any():
             chars, which = np.unique(codes[bare], return_inverse=True)
             by = np.array([sum(self.pieces.byte_weights[b] for b in chr(int(c)).encode(errors="replace")) for c in chars])
             weights[0][bare] = by[which]
-        return ids, weights, bare
+        return weights
 
-    def run(self, words: list[str], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The natural log of each word's marginal probability; with counts, the expected uses of pieces and bytes."""
+    def run(self, words: list[str]) -> np.ndarray:
+        """The natural log of each word's marginal probability."""
         logs = np.zeros(len(words))
-        used, used_bytes = np.zeros(len(self.pieces.texts)), np.zeros(256)
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
@@ -122,33 +129,18 @@ class Lattice:
             for k in range(0, len(rows), step):
                 part = rows[k : k + step]
                 flat = np.frombuffer("".join([SPACE + words[i] for i in part]).encode("utf-32-le", "surrogatepass"), np.uint32)
-                codes = flat.reshape(len(part), length + 1).astype(np.uint64)
-                logs[part] = self._one_length(codes, None if counts is None else counts[part], used, used_bytes)
-        return logs, used, used_bytes
+                logs[part] = self._one_length(flat.reshape(len(part), length + 1).astype(np.uint64))
+        return logs
 
-    def _one_length(self, codes: np.ndarray, counts: np.ndarray | None, used: np.ndarray, used_bytes: np.ndarray) -> np.ndarray:
+    def _one_length(self, codes: np.ndarray) -> np.ndarray:
+        """Words of one length side by side: ahead[j] is the log probability of all ways to spell the first j characters."""
         m, n = codes.shape
-        ids, weights, bare = self.edges(codes)
+        weights = self.edges(codes)
         ahead = np.full((n + 1, m), -np.inf)
         ahead[0] = 0
         w = [np.ascontiguousarray(x.T) for x in weights]
         for j in range(1, n + 1):
             ahead[j] = log_sum([ahead[j - k] + w[k - 1][j - k] for k in range(1, min(j, len(w)) + 1)])
-        if counts is not None:
-            back = np.full((n + 1, m), -np.inf)
-            back[n] = 0
-            for i in range(n - 1, -1, -1):
-                back[i] = log_sum([w[k - 1][i] + back[i + k] for k in range(1, min(n - i, len(w)) + 1)])
-            for k in range(1, len(w) + 1):
-                share = np.exp(ahead[: n - k + 1] + w[k - 1] + back[k:] - ahead[n]) * counts
-                number = ids[k - 1].T
-                hit = number >= 0
-                used += np.bincount(number[hit], share[hit], len(used))
-                if k == 1 and bare.any():
-                    chars, which = np.unique(codes.T[bare.T], return_inverse=True)
-                    for c, v in zip(chars, np.bincount(which, share[bare.T]), strict=True):
-                        for b in chr(int(c)).encode(errors="replace"):
-                            used_bytes[b] += v
         return ahead[n]
 
 
@@ -218,50 +210,50 @@ def packed(pieces: Pieces) -> bytes:
     return pickle.dumps(pieces)
 
 
-def trained(lexicon: DataFrame, pieces: Pieces, ends: int) -> tuple[Pieces, float]:
-    """Pieces with weights from expected counts over the lexicon (word, c), and the log weight of the end."""
-    sent = lexicon.sparkSession.sparkContext.broadcast(packed(pieces))
-    size = len(pieces.texts)
+def weighed(lexicon: DataFrame, pieces: Pieces) -> DataFrame:
+    """`lexicon` (word, c, n) with log, the natural log of each word's marginal probability over all segmentations."""
+    sent = lexicon.sparkSession.sparkContext.broadcast(packed(pieces))  # bounded by MOST_PIECES
 
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, total = lattice(sent.value), np.zeros(size + 256)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                words = [x.decode(errors="replace") for x in batch.column(0).to_pylist()]
-                _, used, raw = model.run(words, np.array(batch.column(1).to_pylist(), float))
-                total += np.concatenate([used, raw])
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.float64())], names=["piece", "uses"])
-
-    # as many rows as there are pieces
-    rows = lexicon.where("c > 0").select("word", "c").transform(in_arrow, expect, "piece bigint, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
-    uses = PRIOR * np.exp(np.concatenate([pieces.weights, pieces.byte_weights]))
-    uses[rows.piece.to_numpy(int)] += np.round(rows.uses.to_numpy(float), 6)
-    end = max(ends, 1e-3)
-    logs = np.log(uses) - math.log(uses.sum() + end)
-    return Pieces(pieces.texts, logs[:size], logs[size:]), math.log(end / (uses.sum() + end))
+            for part in slices_of(batch, 0, WEIGHED_AT_ONCE):
+                logs = lattice(sent.value).run([x.decode(errors="replace") for x in text_bytes(part.column(0))])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(logs, pa.float64())], names=["word", "c", "n", "log"])
+
+    return lexicon.select("word", "c", "n").transform(in_arrow, run, "word binary, c bigint, n bigint, log double")
+
+
+def best_share(known: DataFrame, n: int) -> float:
+    """The one of SHARES under which the n training words of `known` (c, log) are likeliest, each left out of its own count."""
+    if n < 2:
+        return 0.0
+
+    def likelihood(share: float) -> Column:
+        counted = F.log(F.lit(share) * (F.col("c") - 1) / (n - 1))
+        spelt = math.log(1 - share) + F.col("log")
+        both = F.greatest(counted, spelt) + F.log1p(F.exp(-F.abs(counted - spelt)))
+        return F.sum(F.col("c") * F.when(F.col("c") > 1, both).otherwise(spelt))
+
+    found = known.where("c > 0").agg(*[likelihood(x).alias(f"s{i}") for i, x in enumerate(SHARES)]).first()
+    return max(zip(found, SHARES, strict=True))[1]
 
 
 def score(docs: DataFrame, held_out: Column, model_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """For each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     blocks = written(coded(docs, held_out, text, key))
-    words = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    lexicon = written(words.groupBy("word").agg(F.sum("n").alias("c")))
+    words = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("count"))
+    known = written(weighed(words.groupBy("word").agg(F.sum("count").alias("c"), F.count("*").alias("n")), read_pieces(model_path)))
     ends = blocks.select(F.sum(F.size(F.filter("held_out", lambda h: ~h)))).first()[0] or 0
-    n, v = lexicon.select(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    n, v = n + ends, v + (ends > 0)
-    pieces, end_weight = trained(lexicon, read_pieces(model_path), ends)
-    sent = lexicon.sparkSession.sparkContext.broadcast(packed(pieces))
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                logs, _, _ = lattice(sent.value).run([x.decode(errors="replace") for x in batch.column(0).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], names=["word", "c", "log"])
-
-    known = lexicon.transform(in_arrow, weigh, "word binary, c bigint, log double")
+    n_words, v = known.select(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    n, v = n_words + ends, v + (ends > 0)
+    share = best_share(known, n_words)
+    end = (ends + 1) / (n + 2)
     asked = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    of_block = asked.join(known, "word").groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("c").alias("c"), F.collect_list("log").alias("log"))
+    short = known.where((F.col("n") > 1) & (F.octet_length("word") <= 64)).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "c", "log")
+    asked = asked.join(F.broadcast(short), "word", "left")
+    rare = asked.where("c is null").select("word", "block", "at").join(known.select("word", "c", "log"), "word")
+    found = asked.where("c is not null").select("block", "at", "c", "log").unionByName(rare.select("block", "at", "c", "log"))
+    of_block = found.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("c").alias("c"), F.collect_list("log").alias("log"))
     joined = blocks.select("block", "ids", "held_out", "sizes", "codes").join(of_block, "block", "left")
     kind = docs.schema[key].dataType.simpleString()
     base_end = math.log10((ends + 1) / (n + 1 * (v + 1)))
@@ -283,7 +275,9 @@ def score(docs: DataFrame, held_out: Column, model_path: str, text: str = "text"
                     return np.bincount(doc, values[codes], m) if len(codes) else np.zeros(m)
 
                 base = over(np.log10((count + 1) / (n + 1 * (v + 1)))) + base_end
-                mine = (over(weight) + end_weight) / math.log(10)
+                with np.errstate(divide="ignore"):
+                    counted = np.log(count) + (math.log(share / n_words) if share else -np.inf)
+                mine = (over(np.logaddexp(counted, weight + math.log(1 - share)) + math.log(1 - end)) + math.log(end)) / math.log(10)
                 known_ = over((count > 0).astype(float)).astype(np.int64) + (ends > 0)
                 columns = [ids, held, pa.array(sizes.astype(np.int64) + 1), pa.array(known_), pa.array(np.full(len(sizes), n, np.int64)), pa.array(base), pa.array(mine)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
