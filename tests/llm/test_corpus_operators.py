@@ -186,36 +186,29 @@ def test_url_verdicts(spark):
     assert url_trust.judge(df.limit(0), queries.URL_RULES).count() == 0
 
 
-def test_propagation_against_iteration(spark):
+def test_propagation_against_a_solver(spark):
     r = np.random.default_rng(2)
     n = 12
     w = r.integers(0, 4, (n, n)) * (1 - np.eye(n, dtype=int))
-    seed = r.random(n).round(2)
+    seed = r.random((n, 2)).round(2)
     links = spark.createDataFrame([(f"h{i}", f"h{j}", int(w[i, j])) for i in range(n) for j in range(n) if w[i, j]], "from string, to string, pages bigint")
-    seeds = spark.createDataFrame([(f"h{i}", float(seed[i]), 0.0) for i in range(n)], "host string, trusted double, blocked double")
-    m = w / np.maximum(w.sum(1, keepdims=True), 1)
-    want = np.linalg.solve(np.eye(n) - 0.85 * m.T, seed)
-    got = {x.host: x.trust for x in url_trust.propagate(seeds, links).collect()}
-    assert np.allclose([got[f"h{i}"] for i in range(n)], want, rtol=0.02)
-
-
-def test_search_visits_few_rows_of_clustered_vectors(spark):
-    """20,000 vectors in clusters: over nine tenths of the neighbours from under three tenths of the rows."""
-    r = np.random.default_rng(1)
-    x = np.repeat(r.normal(size=(400, 32)), 50, 0) + 0.4 * r.normal(size=(20_000, 32))
-    df = spark.createDataFrame(__import__("pandas").DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}))
-    out = rp_forest.nearest(df, F.col("vec_id") % 500 == 0, 20).toPandas()
-    asked = np.arange(0, len(x), 500)
-    s = x[asked] @ x.T
-    s[np.arange(len(asked)), asked] = -np.inf
-    want = np.argsort(-s, axis=1)[:, :20]
-    assert np.mean([len(set(w) & set(out[out.query_id == q].vec_id)) / 20 for q, w in zip(asked, want, strict=True)]) >= 0.9
-
-    forest = rp_forest.grow(x, len(x) // rp_forest.LEAF, rp_forest.TREES, float(np.linalg.norm(x, axis=1).max()))
-    leaves = forest.leaves_of(x)
-    places = np.concatenate([forest.places_of(x[q], leaves[w]) for q, w in zip(asked, want, strict=True)])
-    probes = int(np.quantile(places, rp_forest.RECALL, method="higher"))
-    visited = [np.isin(leaves, own).any(1) for own in forest.probes_of(x[asked], probes)]
-    assert np.mean(visited) <= 0.3
-    held = np.mean([v[w].mean() for v, w in zip(visited, want, strict=True)])
-    assert held >= rp_forest.RECALL - 0.01  # the places are those at which the queue comes to the leaves
+    seeds = spark.createDataFrame([(f"h{i}", float(seed[i, 0]), float(seed[i, 1])) for i in range(n)], "host string, trusted double, blocked double")
+    got = {x.host: x for x in url_trust.propagate(seeds, links).collect()}
+    for k, (name, m) in enumerate((("trust", w), ("distrust", w.T))):
+        share = m / np.maximum(m.sum(1, keepdims=True), 1)
+        want = np.linalg.solve(np.eye(n) - 0.85 * share.T, seed[:, k])
+        assert np.allclose([got[f"h{i}"][name] for i in range(n)], want, rtol=0.02)
+
+
+def test_trust_flows_between_a_domain_and_its_hosts(spark):
+    hosts = [("a.b.x.net", 3), ("c.x.net", 2), ("x.net", 1), ("10.0.0.1", 5), ("y.org", 1), ("", 1)]
+    got = {tuple(x) for x in url_trust.family_edges(spark.createDataFrame(hosts, "host string, n bigint")).collect()}
+    want = {("a.b.x.net", "b.x.net", 3), ("b.x.net", "x.net", 3), ("c.x.net", "x.net", 2)}
+    assert got == want | {(b, a, n) for a, b, n in want}
+    rows = [(i, f"http://{h}/{p}/") for i, (h, p) in enumerate([("s.bad.net", "es"), ("s.bad.net", "fr"), ("t.bad.net", "x"), ("u.bad.net", "x"), ("t.other.net", "x")])]
+    out = {x.page_id: x for x in url_trust.judge(spark.createDataFrame(rows, "page_id int, url string").withColumn("html", F.lit(None).cast("string")).withColumn("rule", F.lit("clash")), queries.URL_RULES, keep=("page_id", "rule")).collect()}
+    m = np.zeros((4, 4))  # s, t, u, domain
+    m[:3, 3], m[3, :3] = 1, (0.5, 0.25, 0.25)
+    want = np.linalg.solve(np.eye(4) - 0.85 * m.T, [1, 0, 0, 0])
+    assert np.allclose([out[i].distrust for i in (0, 2, 3)], want[:3], rtol=5e-3)
+    assert [out[i].verdict for i in range(5)] == ["block", "block", *["block" if x >= 0.5 else "allow" for x in want[1:3]], "allow"]
