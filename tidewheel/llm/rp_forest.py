@@ -8,8 +8,8 @@ in double precision. How many leaves is measured, not set: for a bounded sample
 found among all rows, and their leaves' places in the queue give the number that finds the share RECALL of them. So
 clustered vectors need few leaves and random ones many, at every size by the same rule.
 
-Large leaves are cut into cells, cells are dealt to groups of bounded size, a query goes only to groups that it
-visits, and a group that too many queries visit is repeated for parts of them. Of each group only every query's best
+Large leaves are cut into cells, a tree's cells are dealt to groups of bounded size, a query goes only to groups that
+it visits, and a group that too many queries visit is repeated for parts of them. Of each group only every query's best
 leave it.
 
 Equal vectors are one entry with their smallest ids (as many as a result can hold, and one), so a third of all
@@ -239,15 +239,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", v
     queries = plain.where("asked").select("entry", "embedding")
     probes = measured(stored, queries, forest, k, width, recall)
     # as many counters as there are leaves, which the sample bounds
-    held = {r.leaf: r.n for r in stored.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    cells = np.ones(forest.leaves, np.int64)
-    for leaf, rows_in in held.items():
-        cells[leaf] = -(-rows_in // CELL)
+    held = stored.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).toPandas()
+    rows_in, cells = np.zeros(forest.leaves, np.int64), np.ones(forest.leaves, np.int64)
+    rows_in[held.leaf] = held.n
+    cells = np.maximum(1, -(-rows_in // CELL))
     base = np.cumsum(cells) - cells
-    groups = -(-n * trees // GROUP)
-    cell_of = F.element_at(F.lit(base.tolist()), F.col("leaf") + 1) + F.pmod(F.xxhash64("entry"), F.element_at(F.lit(cells.tolist()), F.col("leaf") + 1))
-    each = stored.select("entry", "first", "embedding", F.explode("leaves").alias("leaf")).select("entry", "first", "embedding", cell_of.alias("cell"))
-    each = each.withColumn("group", F.floor(F.col("cell") * groups / int(cells.sum())).cast("long"))
+    # a tree's cells, in order, fill groups of GROUP rows; no group spans two trees, so that a query meets a group a tree as long as those suffice
+    of_leaf = np.repeat(np.arange(forest.leaves), cells)
+    filled = np.cumsum((rows_in / cells)[of_leaf]) - (rows_in / cells)[of_leaf]
+    tree = np.floor(filled / n + 1e-9).astype(np.int64)
+    parts = -(-n // GROUP)
+    group_of = tree * parts + np.minimum(parts - 1, ((filled - tree * n) * parts / n + 1e-9).astype(np.int64))
+    groups = int(group_of.max()) + 1
+    table = pd.DataFrame({"leaf": np.arange(forest.leaves, dtype=np.int32), "of": [list(range(x, x + c)) for x, c in zip(base.tolist(), cells.tolist(), strict=True)], "groups": [group_of[x : x + c].tolist() for x, c in zip(base, cells, strict=True)]})
+    table = entries.sparkSession.createDataFrame(table, "leaf int, of array<int>, groups array<bigint>")
+    each = stored.select("entry", "first", "embedding", F.explode("leaves").alias("leaf")).join(F.broadcast(table), "leaf")
+    own = F.pmod(F.xxhash64("entry"), F.size("of")).cast("int")
+    each = each.select("entry", "first", "embedding", F.get("of", own).alias("cell"), F.get("groups", own).alias("group"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +264,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", v
                 rows, of, lists = [], [], []
                 for k, leaves in enumerate(sent.value.probes_of(matrix(part.column(1), width), probes)):
                     own = np.sort(np.concatenate([np.arange(base[x], base[x] + cells[x]) for x in leaves]))
-                    group = own * groups // int(cells.sum())
+                    group = group_of[own]
                     edge = np.flatnonzero(np.diff(group, prepend=-1, append=groups))
                     for lo, hi in zip(edge, edge[1:], strict=False):
                         rows.append(k)
