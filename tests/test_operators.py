@@ -68,6 +68,26 @@ def test_breaker_opens_probes_and_closes(spark):
     assert [(x.admitted, x.state) for x in out] == [(True, "closed"), (True, "open"), (False, "open"), (True, "closed"), (True, "closed")]
 
 
+def test_breaker_judges_successes_and_waits_longer_than_the_cooldown(spark):
+    calls = [(0, True), (1, False), (2, False), (101, False), (102, False), (103, None)]
+    df = spark.createDataFrame([(None, t, i, bad) for i, (t, bad) in enumerate(calls)], "k int, at bigint, tie int, bad boolean")
+    out = stateful.breaker(df, ["k"], "at", "tie", "bad", 1000, 2, 0.5, 100).orderBy("tie").collect()
+    assert [(x.admitted, x.state) for x in out] == [(True, "closed"), (True, "open"), (False, "open"), (False, "open"), (True, "closed"), (True, "closed")]
+
+
+def test_one_key_with_a_third_of_all_rows(spark):
+    """A key that never pauses goes through one task in batches; nothing is lost and order holds."""
+    rows = spark.range(60_000).selectExpr("if(id % 3 = 0, 0, id) as k", "id * 10 as at", "id as tie", "id % 7 = 0 as bad", "if(id % 2 = 0, 'a', 'b') as event")
+    assert stateful.throttle(rows, ["k"], "at", "tie", 300).where("k = 0").count() == 2_000
+    assert stateful.sliding_window(rows, ["k"], "at", "tie", 2, 300).where("k = 0").count() == 4_000
+    assert stateful.breaker(rows, ["k"], "at", "tie", "bad", 10_000, 5, 0.99, 10).where("k = 0").count() == 20_000
+    got = stateful.machine(rows, ["k"], "at", "tie", "event", {("x", "a"): "y", ("y", "b"): "x"}, "x")
+    assert tuple(got.where("k = 0").first()) == (0, "x", 20_000, 0) and got.count() == 40_001
+    replies = rows.where("id % 30 = 0" if "id" in rows.columns else "tie % 30 = 0").selectExpr("k", "at as reply_at")
+    found = stateful.correlate(rows.select("k", "at", "tie"), replies, "k", "at", "reply_at", 100).where("k = 0 and replied is not null")
+    assert found.count() == sum((-t % 30) * 10 < 100 and t + (-t % 30) < 60_000 for t in range(0, 60_000, 3))
+
+
 def test_chunk_sizes(spark):
     df = spark.range(1, 6)
     assert [x.chunk for x in dataflow.chunked(df, 2, [], "id").orderBy("id").collect()] == [0, 0, 1, 1, 2]
@@ -103,10 +123,12 @@ def test_wire_errors_and_nesting(spark):
     inner = wire.write_varint(1 << 3 | 2) + b"\x02\xff\xff"
     good = wire.write_varint(4 << 3 | 2) + wire.write_varint(len(inner)) + inner
     df = spark.createDataFrame([(bytearray(good),), (bytearray(good[:-1]),), (None,)], "b binary")
-    out = df.select(wire.scan("b").alias("s"), wire.walk("b").alias("w"), wire.find_path(F.col("b"), 4, 1).alias("f")).collect()
+    out = df.select(wire.scan("b").alias("s"), wire.fault("b").alias("e"), wire.walk("b").alias("w"), wire.find_path(F.col("b"), 4, 1).alias("f")).collect()
     assert bytes(out[0].f.data) == b"\xff\xff"
     assert [x.path for x in out[0].w] == ["4", "4.1"]
-    assert out[1].s is None and out[2].s is None
+    assert out[1].s == [] and out[1].e and out[0].e is None and out[2].s is None
+    tail = spark.createDataFrame([(bytearray(good + b"\x08"),)], "b binary").select(wire.scan("b").alias("s"), wire.fault("b").alias("e")).first()
+    assert [x.num for x in tail.s] == [4] and tail.e
 
 
 def test_dns_answers(spark):

@@ -5,7 +5,6 @@ from collections import Counter
 from datetime import datetime, timedelta
 from urllib.parse import quote
 
-from tidewheel.llm import secret_scan
 from tidewheel.plans import catalog
 
 
@@ -62,16 +61,3 @@ def test_longest_prefix_has_keys_of_every_part(spark, tmp_path):
     keys = {n for _, n in parts} | {n.split(" ")[0] for _, n in parts}
     got = {x.p_partkey: x.found for x in catalog.QUERIES["longest_prefix"](spark, str(tmp_path)).collect()}
     assert got == {k: max((key for key in keys if n.startswith(key)), key=len) for k, n in parts}
-
-
-def test_secret_joined_to_a_base_span_is_found(spark):
-    r = random.Random(11)
-    secrets = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(20)]
-    key = "AKIA" + "Z7Q2" * 4
-    df = spark.createDataFrame([(i, f"see {key}/{s} here") for i, s in enumerate(secrets)], "doc_id int, text string")
-    found = secret_scan.scan(df, keep=("doc_id", "text"))
-    spans = {x.doc_id: [(y.start, y.end, y.kind) for y in x.spans] for x in found.collect()}
-    hits = sum((24, 65, "random") in v for v in spans.values())
-    assert hits >= 15 and all((4, 24, "access") in v for v in spans.values())
-    texts = secret_scan.redact(found).collect()
-    assert sum(x.text == "see [secret][secret] here" for x in texts) == hits

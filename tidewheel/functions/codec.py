@@ -22,8 +22,8 @@ def hex_number(x: Column) -> Column:
 
 
 def parse_hex(s: Column) -> Column:
-    """Up to 15 digits as bigint, null for anything else."""
-    return F.when(s.rlike("^[0-9A-Fa-f]{1,15}$"), F.conv(s, 16, 10).cast("bigint"))
+    """Up to 16 digits as an unsigned 64-bit number, decimal(20,0); null for anything else."""
+    return F.when(s.rlike("^[0-9A-Fa-f]{1,16}$"), F.conv(s, 16, 10).cast("decimal(20,0)"))
 
 
 def base64_url(b: Column) -> Column:
@@ -78,41 +78,86 @@ def store_le(x: Column, n: int) -> Column:
     return F.concat(*[F.substring(store_be(x, n), n - i, 1) for i in range(n)])
 
 
+def load_u64(b: Column, at: int, little: bool = False) -> Column:
+    """Eight bytes from position `at` as an unsigned number, decimal(20,0); null if they aren't all there."""
+    part = F.substring(b, at + 1, 8)
+    h = F.hex(part)
+    if little:
+        h = F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)])
+    return F.when(F.octet_length(b) >= at + 8, F.conv(h, 16, 10).cast("decimal(20,0)"))
+
+
+def unsigned(x: Column) -> Column:
+    """Two's complement as an unsigned 64-bit number, decimal(20,0)."""
+    return (x.cast("decimal(20,0)") + F.when(x < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))).cast("decimal(20,0)")
+
+
+def _octets(b: Column, at: int) -> Column:
+    """Up to eight bytes from position `at`, followed by zeros, as one bigint in two's complement."""
+    return F.conv(F.rpad(F.hex(F.substring(b, at + 1, 8)), 16, "0"), 16, -10).cast("bigint")
+
+
+def _octet(word: Column, i: int) -> Column:
+    return F.shiftrightunsigned(word, 56 - 8 * i).bitwiseAND(F.lit(255).cast("bigint"))
+
+
 def quic_decode(b: Column) -> Column:
     """value and size of the number at the start of a binary, null if it is cut off; values of 8 bytes keep 62 bits."""
-    first = load_be(b, 0, 1)
-    n = F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), (F.shiftright(first, 6) + 1).cast("int"))
-    head = first.bitwiseAND(F.lit(63).cast("bigint"))
+    word = _octets(b, 0)
+    kind = F.shiftrightunsigned(word, 62)
+    n = F.when(kind == 0, 1).when(kind == 1, 2).when(kind == 2, 4).otherwise(8)
+    low = word.bitwiseAND(F.lit((1 << 62) - 1).cast("bigint"))
+    value = F.when(kind == 0, F.shiftrightunsigned(low, 56)).when(kind == 1, F.shiftrightunsigned(low, 48)).when(kind == 2, F.shiftrightunsigned(low, 32)).otherwise(low)
+    return F.when((F.octet_length(b) > 0) & (F.octet_length(b) >= n), F.struct(value.alias("value"), n.alias("size")))
+
 
-    def rest(k: int) -> Column:
-        out = head
-        for i in range(1, k):
-            out = out * 256 + load_be(b, i, 1)
-        return out
+@batched("struct<values:array<bigint>,rest:int>")
+def quic_sequence(binaries):
+    """All numbers of a binary one after another, and how many bytes of a last one that is cut off remain."""
+    import pandas as pd
+
+    def one(b: bytes | None):
+        if b is None:
+            return None, None
+        found, at = [], 0
+        while at < len(b) and at + (n := 1 << (b[at] >> 6)) <= len(b):
+            found.append(int.from_bytes(b[at : at + n], "big") & ((1 << 8 * n - 2) - 1))
+            at += n
+        return found, len(b) - at
 
-    value = F.when(n == 1, head).when(n == 2, rest(2)).when(n == 4, rest(4)).otherwise(rest(8))
-    return F.when(F.octet_length(b) >= n, F.struct(value.alias("value"), n.alias("size")))
+    return pd.DataFrame([one(b) for b in binaries], columns=["values", "rest"])
 
 
 def uvarint_length(x: Column) -> Column:
-    """Bytes of a non-negative number in base 128."""
-    return F.greatest(F.lit(1), F.ceil(F.length(F.bin(x)) / 7)).cast("int")
+    """Bytes in base 128 of a number taken as unsigned: two's complement below 0 has 10."""
+    out = F.when(x < 0, 10)
+    for n in range(1, 9):
+        out = out.when(x < (1 << 7 * n), n)
+    return out.otherwise(9)
 
 
 def uvarint_encode(x: Column) -> Column:
-    """A non-negative number in base 128, least significant first."""
-    n = uvarint_length(x)
-    digit = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.hex(F.call_function("shiftright", x, 7 * i).bitwiseAND(F.lit(127).cast("bigint")).bitwiseOR(F.when(i < n - 1, F.lit(128)).otherwise(F.lit(0)).cast("bigint"))), 2, "0"))
-    return F.unhex(F.array_join(digit, ""))
+    """A number taken as unsigned in base 128, least significant first."""
+    n, digits = uvarint_length(x), []
+    for i in range(10):
+        seven = F.shiftrightunsigned(x, 7 * i).bitwiseAND(F.lit(127).cast("bigint"))
+        digits.append(F.when(n > i + 1, F.hex(seven + 128)).when(n == i + 1, F.lpad(F.hex(seven), 2, "0")).otherwise(""))
+    return F.unhex(F.concat(*digits))
 
 
 def uvarint_decode(b: Column) -> Column:
-    """value and size of the base-128 number at the start of a binary, null if it is cut off or has over 9 bytes."""
-    octets = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.octet_length(b), F.lit(9)), F.lit(1))), lambda i: F.conv(F.hex(F.substring(b, i, F.lit(1))), 16, 10).cast("bigint"))
-    last = F.array_position(F.transform(octets, lambda o: o < 128), True)
-    own = F.slice(octets, F.lit(1), last.cast("int"))
-    value = F.aggregate(F.reverse(own), F.lit(0).cast("bigint"), lambda a, o: a * 128 + o.bitwiseAND(F.lit(127).cast("bigint")))
-    return F.when((F.octet_length(b) > 0) & (last > 0), F.struct(value.alias("value"), last.cast("int").alias("size")))
+    """value and size of the base-128 number at the start of a binary; values of 2**63 and more as two's complement
+    (see unsigned()); null if it is cut off, has over 10 bytes or over 64 bits."""
+    first, more = _octets(b, 0), _octets(b, 8)
+    octets = [*[_octet(first, i) for i in range(8)], _octet(more, 0), _octet(more, 1)]
+    size, value = F.lit(None).cast("int"), F.lit(None).cast("bigint")
+    total, found = F.lit(0).cast("bigint"), []
+    for i, o in enumerate(octets):
+        total = total.bitwiseOR(F.shiftleft(o.bitwiseAND(F.lit(127).cast("bigint")), 7 * i))
+        found.append((o <= (1 if i == 9 else 127), i + 1, total))
+    for ends, n, all_bits in reversed(found):
+        size, value = F.when(ends, n).otherwise(size), F.when(ends, all_bits).otherwise(value)
+    return F.when(size <= F.octet_length(b), F.struct(value.alias("value"), size.alias("size")))
 
 
 def wire_tag(field: Column, kind: Column) -> Column:
@@ -162,9 +207,9 @@ def xor_mask(values, masks):
 def gather_bits(x: Column, mask: int) -> Column:
     """The bits of x under a mask, packed to the low end."""
     out, k = F.lit(0).cast("bigint"), 0
-    for i in range(63):
+    for i in range(64):
         if mask >> i & 1:
-            out = out.bitwiseOR(F.shiftleft(F.shiftright(x, i).bitwiseAND(F.lit(1).cast("bigint")), k))
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(x, i).bitwiseAND(F.lit(1).cast("bigint")), k))
             k += 1
     return out
 
@@ -172,8 +217,8 @@ def gather_bits(x: Column, mask: int) -> Column:
 def spread_bits(x: Column, mask: int) -> Column:
     """The low bits of x, spread to the places of a mask."""
     out, k = F.lit(0).cast("bigint"), 0
-    for i in range(63):
+    for i in range(64):
         if mask >> i & 1:
-            out = out.bitwiseOR(F.shiftleft(F.shiftright(x, k).bitwiseAND(F.lit(1).cast("bigint")), i))
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(x, k).bitwiseAND(F.lit(1).cast("bigint")), i))
             k += 1
     return out

@@ -152,3 +152,29 @@ def glob(p: Column, pattern: str) -> Column:
             out += re.escape(c)
         i += 1
     return base(p).rlike(f"^{out}$")
+
+
+def resolve_under(base: Column, ref: Column) -> Column:
+    """A reference under a base url whose path stays as a prefix; absolute urls and those that begin with // go by themselves.
+
+    Paths are joined and cleaned of dot segments unless the base's is empty or /; a last slash of the reference
+    stays. The queries of both follow each other, the reference's fragment goes before the base's. An empty reference
+    is the base; a base without a host leaves the reference as it is."""
+    pattern = r"^([A-Za-z][A-Za-z0-9+.-]*:)(//[^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+    scheme, host, path, query, fragment = (F.regexp_extract(base, pattern, i) for i in range(1, 6))
+    rel, rel_query, rel_fragment = (F.regexp_extract(ref, r"^([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", i) for i in (1, 2, 3))
+    bare, clean_rel = F.regexp_replace(path, "/$", ""), F.regexp_replace(rel, "^/", "")
+    joined = clean(F.concat(bare, F.lit("/"), clean_rel))
+    joined = F.when(rel.endswith("/") & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
+    rooted = F.when(rel.startswith("/"), rel).otherwise(F.concat(F.lit("/"), rel))
+    full = F.when(rel == "", path).when(path.isin("", "/"), rooted).when(clean_rel == "", F.concat(bare, F.lit("/"))).otherwise(joined)
+    asked = F.when((query != "") & (rel_query != ""), F.concat(query, F.lit("&"), rel_query)).otherwise(F.concat(query, rel_query))
+    mark = F.when(rel_fragment != "", rel_fragment).otherwise(fragment)
+    out = F.concat(scheme, host, full, F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(""), F.when(mark != "", F.concat(F.lit("#"), mark)).otherwise(""))
+    absolute = ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    return F.when(absolute | (F.length(host) <= 2), ref).when(ref == "", base).when(ref.startswith("//"), F.concat(scheme, ref)).otherwise(out)
+
+
+def normal_base(base: Column) -> Column:
+    """A base url that ends with a slash; '' stays."""
+    return F.when((base == "") | base.endswith("/"), base).otherwise(F.concat(base, F.lit("/")))

@@ -15,7 +15,7 @@ INCOMPRESSIBLE = (
 
 def split_words(s: Column) -> Column:
     """Words of an identifier: cut at _ - space . / and where lower case or an acronym meets a capitalised word."""
-    cut = F.regexp_replace(F.regexp_replace(s, r"([^A-Z_\-. /])([A-Z])", "$1_$2"), "([A-Z])([A-Z][a-z])", "$1_$2")
+    cut = F.regexp_replace(F.regexp_replace(s, r"([^\p{Lu}_\-. /])(\p{Lu})", "$1_$2"), r"(\p{Lu})(?=\p{Lu}\p{Ll})", "$1_")
     return F.filter(F.split(cut, r"[_\-. /]"), lambda w: w != "")
 
 
@@ -141,16 +141,16 @@ def match_head(s: Column, target: str, width: int) -> Column:
     return (F.octet_length(s) >= width) & (F.substring(b, 1, width) == F.lit(bytearray(t[:width])))
 
 
-def common_prefix(a: Column, b: Column, most: int = 1 << 20) -> Column:
-    """How many characters two texts have in common at the start, found by halving."""
-    n = F.least(F.length(a), F.length(b), F.lit(most))
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many characters two texts have in common at the start, found by halving; as many steps as the shorter length has bits."""
+    n = F.least(F.length(a), F.length(b))
 
     def half(acc: Column, _: Column) -> Column:
         mid = F.floor((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
         same = F.substring(a, F.lit(1), mid) == F.substring(b, F.lit(1), mid)
         return F.struct(F.when(same, mid).otherwise(acc["lo"]).alias("lo"), F.when(same, acc["hi"]).otherwise(mid - 1).alias("hi"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most.bit_length())), F.struct(F.lit(0).alias("lo"), n.cast("int").alias("hi")), half, lambda acc: acc["lo"])
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(n))), F.struct(F.lit(0).alias("lo"), n.cast("int").alias("hi")), half, lambda acc: acc["lo"])
 
 
 def html_escape(s: Column) -> Column:
@@ -166,9 +166,22 @@ def remove_class(s: Column, chars: str) -> Column:
 
 
 def is_incompressible(ext: Column) -> Column:
+    """Of an extension, with or without its dot; use file_extension() for a file name."""
     return ascii_lower(F.regexp_replace(ext, r"^\.", "")).isin(*INCOMPRESSIBLE)
 
 
+def file_extension(name: Column) -> Column:
+    """What follows the last dot of a file name, without the dot; '' if there is none."""
+    return F.regexp_extract(name, r"\.([^./]*)$", 1)
+
+
+def chain(s: Column, *steps) -> Column:
+    """The steps, each from Column to Column, one after another."""
+    for step in steps:
+        s = step(s)
+    return s
+
+
 def strip_bom(s: Column) -> Column:
     return F.regexp_replace(s, "^\ufeff", "")
 

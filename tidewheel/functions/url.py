@@ -142,22 +142,34 @@ def ipv4(ip: Column) -> Column:
     return F.when(ok, F.aggregate(F.transform(parts, lambda p: p.try_cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a * 256 + x))
 
 
-def ipv6_head(ip: Column) -> Column:
-    """The first 16 bits of an IPv6 address."""
-    return F.conv(F.when(ip.startswith(":"), "0").otherwise(F.regexp_extract(ip, "^([0-9A-Fa-f]{1,4}):", 1)), 16, 10).cast("int")
+def ipv6(ip: Column) -> Column:
+    """An IPv6 address as 32 lower-case hexadecimal digits, null for anything else; its last 32 bits may be written as IPv4."""
+    tail = ipv4(F.regexp_extract(ip, r"^.*:([0-9.]+)$", 1))
+    hexed = F.concat(F.regexp_extract(ip, r"^(.*:)[0-9.]+$", 1), F.lower(F.hex(F.shiftright(tail, 16))), F.lit(":"), F.lower(F.hex(tail.bitwiseAND(F.lit(65535).cast("bigint")))))
+    whole = F.when(F.contains(ip, F.lit(".")), F.coalesce(hexed, F.lit(""))).otherwise(F.lower(ip))
+    group = "[0-9a-f]{1,4}"
+    full = whole.rlike(f"^{group}(:{group}){{7}}$")
+    short = whole.rlike(f"^({group}(:{group})*)?::({group}(:{group})*)?$")
+    sides = F.transform(F.split(whole, "::"), lambda x: F.filter(F.split(x, ":"), lambda g: g != ""))
+    left, right = F.get(sides, F.lit(0)), F.coalesce(F.get(sides, F.lit(1)), F.array().cast("array<string>"))
+    gap = 8 - F.size(left) - F.size(right)
+    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)
+    digits = F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
+    return F.when(full | (short & (gap >= 1)), digits)
 
 
 def is_private(ip: Column) -> Column:
-    """Loopback, link-local, unspecified, RFC 1918, carrier-grade NAT and unique local addresses; null counts as private."""
-    n = ipv4(F.regexp_replace(ip, "(?i)^::ffff:", ""))
+    """Loopback, link-local, unspecified, RFC 1918, carrier-grade NAT and unique local addresses; null, and what is no address, count as private."""
+    six = ipv6(ip)
+    mapped = F.when(six.startswith("0" * 20 + "ffff"), F.conv(F.substring(six, 25, 8), 16, 10).cast("bigint"))
+    n = F.coalesce(ipv4(ip), mapped)
     blocks = [("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("224.0.0.0", 24)]
     four = F.lit(False)
     for base, bits in blocks:
         a = sum(int(x) << s for x, s in zip(base.split("."), (24, 16, 8, 0), strict=True))
         four = four | ((n >= a) & (n < a + (1 << (32 - bits))))
-    head, low = ipv6_head(ip), F.lower(ip)
-    six = low.isin("::", "::1") | (head.bitwiseAND(F.lit(0xFE00)) == 0xFC00) | (head.bitwiseAND(F.lit(0xFFC0)) == 0xFE80) | (head.bitwiseAND(F.lit(0xFF0F)) == 0xFF02)
-    return F.coalesce(F.when(n.isNotNull(), four).when(F.contains(ip, F.lit(":")), six), ip.isNull())
+    own = six.isin("0" * 32, "0" * 31 + "1") | six.rlike("^(f[cd]|fe[89ab]|ff.2)")
+    return F.when(n.isNotNull(), four).when(six.isNotNull(), own).otherwise(True)
 
 
 def clean_host(host: Column) -> Column:

@@ -126,7 +126,7 @@ def uuid_v7(millis: Column) -> Column:
 
 
 def json_entries(s: Column) -> Column:
-    """A map of keys to values as text; of a repeated key the last; null for what is no object."""
+    """A map of keys to values as text; of a repeated key the last (json_pairs() keeps all); null for what is no object."""
     return F.from_json(s, "map<string,string>")
 
 
@@ -141,6 +141,126 @@ def json_typed(s: Column, schema: str, keys: list[str]) -> Column:
     return F.from_json(s, schema)
 
 
+@batched("array<struct<key:string,value:string>>")
+def json_pairs(texts):
+    """The entries of an object in order, repeated keys included, values as they are spelt; those before a fault; none for what is no object. Null: null."""
+    import json
+
+    reader, white = json.JSONDecoder(), " \t\r\n"
+
+    def past(s: str, at: int) -> int:
+        while at < len(s) and s[at] in white:
+            at += 1
+        return at
+
+    def one(s: str | None):
+        if s is None:
+            return None
+        out, at = [], past(s, 0)
+        if s[at : at + 1] != "{":
+            return out
+        at = past(s, at + 1)
+        try:
+            while s[at] == '"':
+                key, at = reader.raw_decode(s, at)
+                at = past(s, at)
+                if s[at] != ":":
+                    return out
+                begin = past(s, at + 1)
+                _, end = reader.raw_decode(s, begin)
+                out.append({"key": key, "value": s[begin:end]})
+                at = past(s, end)
+                if s[at] != ",":
+                    return out
+                at = past(s, at + 1)
+        except (ValueError, IndexError, RecursionError):
+            pass
+        return out
+
+    return texts.map(one)
+
+
+def json_marshalled(fields: dict[str, Column], pretty: bool = False) -> Column:
+    """An object of these fields, those that are null left out, with < > & and the two Unicode line ends escaped."""
+    from tidewheel.functions.text import html_escape
+
+    return html_escape(F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"pretty": "true" if pretty else "false"}))
+
+
+@batched("string")
+def _indented(texts, indents):
+    import json
+
+    def one(s: str | None, indent: str) -> str | None:
+        try:
+            return json.dumps(json.loads(s, object_pairs_hook=lambda x: dict(x)), indent=indent, ensure_ascii=False, separators=(",", ": "))
+        except (TypeError, ValueError):
+            return None
+
+    return texts.combine(indents, one)
+
+
+def json_indented(s: Column, indent: str = "  ") -> Column:
+    """One entry or element a line, each level further in; null for invalid JSON."""
+    return _indented(s, F.lit(indent))
+
+
+def json_strict(s: Column, schema: str, names: list[str]) -> Column:
+    """Typed decoding that gives null for an object with a key that is none of `names`."""
+    known = F.forall(F.json_object_keys(s), lambda k: F.lower(k).isin(*[n.lower() for n in names]))
+    return F.when(known, json_typed(s, schema, names))
+
+
+def same_type(a: Column, b: Column) -> Column:
+    return F.typeof(a) == F.typeof(b)
+
+
+def is_numeric(x: Column) -> Column:
+    return F.typeof(x).rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$")
+
+
+def as_int64(x: Column) -> Column:
+    """A value as bigint; null where it isn't a whole number or doesn't fit."""
+    n = x.try_cast("bigint")
+    return F.when(x.try_cast("decimal(38,10)") == n.cast("decimal(38,10)"), n)
+
+
+def type_name(df_schema: T.StructType, path: str) -> str:
+    """The type of a field at a dotted path, arrays and maps looked through to their values."""
+    kind: T.DataType = df_schema
+    for part in path.split("."):
+        while isinstance(kind, (T.ArrayType, T.MapType)):
+            kind = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
+        kind = kind[part].dataType
+    return kind.simpleString()
+
+
+def sealed(plain: Column, key: Column, nonce: Column, extra: str = "") -> Column:
+    """AES-GCM: the nonce of 12 bytes, the ciphertext and the tag."""
+    return F.aes_encrypt(plain, key, F.lit("GCM"), F.lit("NONE"), nonce, F.lit(extra))
+
+
+def opened(sealed_: Column, key: Column, extra: str = "") -> Column:
+    """What sealed() sealed; null if the key, the extra data or a bit is wrong."""
+    return F.try_aes_decrypt(sealed_, key, F.lit("GCM"), F.lit("NONE"), F.lit(extra))
+
+
+def clipped(body: Column, length: Column) -> Column:
+    """At most `length` bytes of a body; a negative length is no bound."""
+    return F.when(length < 0, body).otherwise(F.substring(body, F.lit(1), length.cast("int")))
+
+
+def uuid_format(b: Column) -> Column:
+    """The text of 16 bytes; null for another length."""
+    h = F.lower(F.hex(b))
+    return F.when(F.octet_length(b) == 16, F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)))
+
+
+def uuid_bytes(s: Column) -> Column:
+    """The 16 bytes of an identifier's text; null for what is none."""
+    return F.when(is_uuid(s), F.unhex(F.replace(s, F.lit("-"), F.lit(""))))
+
+
 @batched("boolean")
 def json_valid(texts):
     """Is the text one JSON value and nothing else? Null: null."""

@@ -81,10 +81,27 @@ def _row(x) -> dict:
     return {"num": x[0], "type": x[1], "raw": Decimal(x[2]), "data": x[3]}
 
 
+def until_fault(b: bytes) -> tuple[list, str | None]:
+    """The fields before the first fault, and the fault."""
+    found = []
+    try:
+        for x in fields(b):
+            found.append(_row(x))
+    except ValueError as e:
+        return found, str(e)
+    return found, None
+
+
 @batched(f"array<{FIELD}>")
 def scan(values: pd.Series) -> pd.Series:
-    """All fields in order; explode it for rows."""
-    return values.map(_safe(lambda b: [_row(x) for x in fields(b)]))
+    """All fields in order, up to the first fault (see fault()); explode it for rows."""
+    return values.map(lambda b: None if b is None else until_fault(bytes(b))[0])
+
+
+@batched("string")
+def fault(values: pd.Series) -> pd.Series:
+    """Why a message can't be read to its end; null if it can."""
+    return values.map(lambda b: None if b is None else until_fault(bytes(b))[1])
 
 
 def find(message: Column, num: int, last: bool = False) -> Column:

@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def lengths(df: DataFrame, column: str) -> Column:
+    """An array of the different lengths of a text column, found beforehand; there are no more than the longest text has characters."""
+    found = [r.n for r in df.select(F.length(column).alias("n")).where("n is not null").distinct().collect()]
+    return F.lit(sorted(found)) if found else F.array().cast("array<int>")
+
+
 def longest_prefix(probes: DataFrame, probe: str, keys: DataFrame, key: str) -> DataFrame:
     """`probes` with found: the longest key that is a prefix of the probe, null if none is.
 
-    All prefixes of each different probe meet the keys in an equi-join, so no pair of tables is multiplied out."""
+    The prefixes of each different probe, of those lengths that keys have, meet the keys in an equi-join, so no pair
+    of tables is multiplied out and a long text has no more prefixes than there are lengths."""
     p = probes.select(probe).distinct().where(F.col(probe).isNotNull())
-    each = p.select(probe, F.explode(F.transform(F.sequence(F.lit(0), F.length(probe)), lambda n: F.substring(F.col(probe), F.lit(1), n))).alias("found"))
+    each = p.select(probe, F.explode(F.transform(F.filter(lengths(keys, key), lambda n: n <= F.length(probe)), lambda n: F.substring(F.col(probe), F.lit(1), n))).alias("found"))
     hits = each.join(keys.select(F.col(key).alias("found")).distinct(), "found", "left_semi")
     best = hits.groupBy(probe).agg(F.max_by("found", F.length("found")).alias("found"))
     return probes.join(best, probe, "left")
@@ -25,7 +32,7 @@ def walk_prefix(df: DataFrame, key: str, prefix: str) -> DataFrame:
 def has_prefix(probes: DataFrame, probe: str, keys: DataFrame, key: str) -> DataFrame:
     """`probes` with has: does a key start with the probe? The empty probe always has one."""
     k = keys.select(key).distinct()
-    each = k.select(F.explode(F.transform(F.sequence(F.lit(0), F.length(key)), lambda n: F.substring(F.col(key), F.lit(1), n))).alias(probe)).distinct()
+    each = k.select(F.explode(F.transform(F.filter(lengths(probes, probe), lambda n: n <= F.length(key)), lambda n: F.substring(F.col(key), F.lit(1), n))).alias(probe)).distinct()
     hit = each.withColumn("has__", F.lit(True))
     return probes.join(hit, probe, "left").withColumn("has", F.coalesce("has__", F.col(probe) == "")).drop("has__")
 

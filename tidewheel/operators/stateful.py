@@ -1,70 +1,83 @@
 """Admission, expiry and state machines over event time, in batch.
 
 The rules ask a clock where they run; here the clock is a column of microseconds, and rows are taken in the order
-of that column and a tie-break. Rules that look back over a bounded time start afresh after a quiet gap of that
-length, so a key's rows are first cut at such gaps by a window (which streams and spills) and only each stretch
-is folded; a hot key is many short folds, not one long one."""
+of that column and a tie-break. What depends on all that came before (admission rules, breakers, machines) is run
+over rows dealt by key and sorted, in Arrow batches, with one small state for the key at hand: a key's rows pass
+through one task, but are never held together, and the sort spills."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewheel.operators import rules
+
 
 def micros(ts: str) -> Column:
     """Microseconds since 1970 of a timestamp with or without a zone; the session's zone should be UTC."""
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def admitted(df: DataFrame, keys: list[str], at: str, tie: str, gap: int, seed: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> DataFrame:
-    """The rows of `df` that a rule lets pass.
+def in_order(df: DataFrame, keys: list[str], at: str, tie: str, run: Callable, schema: str, *more: Column) -> DataFrame:
+    """run(batches) over the columns of `df`, then key__ (the key as text) and `more`, sorted by key, `at` and `tie`, each key in one task."""
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("key__")
+    rows = df.select(*[f"`{c}`" for c in df.columns], key, *more)
+    return rows.repartition("key__").sortWithinPartitions("key__", at, tie).mapInArrow(run, schema)
+
+
+def starts(batch: pa.RecordBatch, last: str | None) -> list[bool]:
+    """Whether each row begins another key than the row before it; `last` is the key before the batch."""
+    key = batch.column(batch.schema.get_field_index("key__"))
+    inside = pc.not_equal(key.slice(1), key.slice(0, batch.num_rows - 1)).to_pylist()
+    return [key[0].as_py() != last, *inside]
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
 
-    step(state, now) gives (whether the row passes, the state afterwards); a stretch begins with `seed`, and after a
-    quiet time of `gap` microseconds any state must act as `seed` does."""
-    w = Window.partitionBy(*keys).orderBy(at, tie)
-    fresh = F.coalesce(F.col(at) - F.lag(at).over(w) >= gap, F.lit(True))
-    cut = df.withColumn("fresh__", fresh.cast("int")).withColumn("stretch__", F.sum("fresh__").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    row = F.struct(F.col(at).alias("at__"), F.col(tie).alias("tie__"), F.struct(*df.columns).alias("row__"))
-    groups = cut.groupBy(*keys, "stretch__").agg(F.sort_array(F.collect_list(row)).alias("rows__"))
-    kept = F.expr("transform(filter(rows__, x -> false), x -> x.row__)")
+def admitted(df: DataFrame, keys: list[str], at: str, tie: str, rule) -> DataFrame:
+    """The rows of `df` that a rule of tidewheel.operators.rules lets pass; a null clock counts as 0."""
+    width = len(df.columns)
 
-    def fold(acc: Column, x: Column) -> Column:
-        ok, state = step(acc["state"], x["at__"])
-        return F.struct(F.when(ok, state).otherwise(acc["state"]).alias("state"), F.when(ok, F.concat(acc["kept"], F.array(x["row__"]))).otherwise(acc["kept"]).alias("kept"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keep = []
+            for new, now in zip(starts(batch, last), batch.column(width + 1).to_pylist(), strict=True):
+                ok, state = rule.step(rule.first() if new else state, now)
+                keep.append(ok)
+            last = batch.column(width)[batch.num_rows - 1].as_py()
+            yield batch.select(list(range(width))).filter(pa.array(keep))
 
-    out = F.aggregate("rows__", F.struct(seed.alias("state"), kept.alias("kept")), fold, lambda acc: acc["kept"])
-    return groups.select(F.explode(out).alias("x")).select("x.*")
+    return in_order(df, keys, at, tie, run, ddl(df), F.coalesce(F.col(at).cast("bigint"), F.lit(0)).alias("now__"))
 
 
 def throttle(df: DataFrame, keys: list[str], at: str, tie: str, interval: int) -> DataFrame:
     """Leading edge: a row passes if `interval` has gone by since the last that passed."""
-    return admitted(df, keys, at, tie, interval, F.lit(None).cast("bigint"), lambda last, now: (F.coalesce(now - last >= interval, F.lit(True)), now))
+    return admitted(df, keys, at, tie, rules.Throttle(interval))
 
 
 def sliding_window(df: DataFrame, keys: list[str], at: str, tie: str, limit: int, window: int) -> DataFrame:
     """A row passes if fewer than `limit` rows passed in (now - window, now]; denied rows don't count."""
-    none = F.array().cast("array<bigint>")
-
-    def step(past: Column, now: Column):
-        live = F.filter(past, lambda t: t > now - window)
-        return F.size(live) < limit, F.concat(live, F.array(now))
-
-    return admitted(df, keys, at, tie, window, none, step)
+    return admitted(df, keys, at, tie, rules.SlidingWindow(limit, window))
 
 
 def token_bucket(df: DataFrame, keys: list[str], at: str, tie: str, rate: float, burst: int, cost: int = 1) -> DataFrame:
     """A row passes if `cost` tokens are there; a bucket holds `burst`, starts full and gains `rate` a second. A denied row changes nothing, and time that runs backwards adds nothing."""
-    full = F.struct(F.lit(float(burst)).alias("tokens"), F.lit(None).cast("bigint").alias("last"))
+    return admitted(df, keys, at, tie, rules.TokenBucket(rate, burst, cost))
 
-    def step(s: Column, now: Column):
-        gained = F.coalesce(F.greatest(now - s["last"], F.lit(0)) / 1_000_000.0 * rate, F.lit(0.0))
-        have = F.least(F.lit(float(burst)), s["tokens"] + gained)
-        return have >= cost, F.struct((have - cost).alias("tokens"), now.alias("last"))
 
-    return admitted(df, keys, at, tie, int(burst / rate * 1_000_000) + 1, full, step)
+def sometimes(df: DataFrame, keys: list[str], at: str, tie: str, first: int = 0, every: int = 0, interval: int = 0) -> DataFrame:
+    """The rows at which a call runs: a key's first, its first `first`, every `every`-th, and any once `interval` has gone by since the last that ran."""
+    return admitted(df, keys, at, tie, rules.Sometimes(first, every, interval))
 
 
 def debounce(df: DataFrame, keys: list[str], at: str, tie: str, interval: int) -> DataFrame:
@@ -81,30 +94,24 @@ def failure_ratio(df: DataFrame, keys: list[str], at: str, failed: Column, windo
 
 
 def breaker(df: DataFrame, keys: list[str], at: str, tie: str, failed: str, window: int, least: int, threshold: float, cooldown: int) -> DataFrame:
-    """`df` with admitted and state after each call of a circuit breaker.
-
-    Closed: calls run and the ratio over the trailing window is watched; with `least` calls and a ratio of
-    `threshold` it opens. Open: calls are refused until `cooldown` has gone by, then one probe runs; its success
-    closes the breaker with an empty history, its failure opens it again. The state depends on all that came
-    before, so a key's rows are folded together."""
-    row = F.struct(F.col(at).alias("at__"), F.col(tie).alias("tie__"), F.col(failed).alias("bad__"), F.struct(*df.columns).alias("row__"))
-    groups = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("rows__"))
-    none = F.expr("transform(filter(rows__, x -> false), x -> struct(x.at__ as at, x.bad__ as bad))")
-    out = F.expr("transform(filter(rows__, x -> false), x -> struct(x.row__ as row, true as admitted, '' as state))")
-    seed = F.struct(F.lit("closed").alias("state"), F.lit(0).cast("bigint").alias("opened"), none.alias("past"), out.alias("out"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        past = F.concat(F.filter(acc["past"], lambda p: p["at"] >= x["at__"] - window), F.array(F.struct(x["at__"].alias("at"), x["bad__"].alias("bad"))))
-        bad = F.size(F.filter(past, lambda p: p["bad"]))
-        trips = x["bad__"] & (F.size(past) >= least) & (bad >= F.size(past) * threshold)
-        refused = (acc["state"] == "open") & (x["at__"] - acc["opened"] < cooldown)
-        state = F.when(refused, "open").when(acc["state"] == "open", F.when(x["bad__"], "open").otherwise("closed")).otherwise(F.when(trips, "open").otherwise("closed"))
-        opened = F.when(~refused & (state == "open"), x["at__"]).otherwise(acc["opened"])
-        kept = F.when(refused, acc["past"]).when((acc["state"] == "open") | (state == "open"), none).otherwise(past)
-        return F.struct(state.alias("state"), opened.alias("opened"), kept.alias("past"), F.concat(acc["out"], F.array(F.struct(x["row__"].alias("row"), (~refused).alias("admitted"), state.alias("state")))).alias("out"))
-
-    done = groups.select(F.explode(F.aggregate("rows__", seed, fold, lambda a: a["out"])).alias("x"))
-    return done.select("x.row.*", "x.admitted", "x.state")
+    """`df` with admitted and state after each call of a circuit breaker (rules.Breaker); a null `failed` is none."""
+    width, rule = len(df.columns), rules.Breaker(window, least, threshold, cooldown)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = []
+            for new, now, bad in zip(starts(batch, last), batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist(), strict=True):
+                found, state = rule.step(rule.first() if new else state, (now, bad))
+                out.append(found)
+            last = batch.column(width)[batch.num_rows - 1].as_py()
+            made = [pa.array([x[0] for x in out], pa.bool_()), pa.array([x[1] for x in out], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=[*batch.schema.names[:width], "admitted", "state"])
+
+    now, bad = F.coalesce(F.col(at).cast("bigint"), F.lit(0)), F.coalesce(F.col(failed), F.lit(False))
+    return in_order(df, keys, at, tie, run, f"{ddl(df)}, admitted boolean, state string", now.alias("now__"), bad.alias("bad__"))
 
 
 def live_at(probes: DataFrame, sets: DataFrame, key: str, at: str, set_at: str, value: str, ttl: int) -> DataFrame:
@@ -121,15 +128,39 @@ def live_at(probes: DataFrame, sets: DataFrame, key: str, at: str, set_at: str,
 
 def machine(df: DataFrame, keys: list[str], at: str, tie: str, event: str, rules: dict[tuple[str, str], str], initial: str) -> DataFrame:
     """keys, state, moved and refused after all events of a key in order; an event without a rule is refused."""
-    table = F.create_map(*[F.lit(x) for (s, e), to in rules.items() for x in (f"{s}\0{e}", to)])
-    rows = F.transform(F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.col(event).alias("event")))), lambda x: x["event"])
-    seed = F.struct(F.lit(initial).alias("state"), F.lit(0).alias("moved"), F.lit(0).alias("refused"))
-
-    def fold(acc: Column, e: Column) -> Column:
-        to = F.element_at(table, F.concat(acc["state"], F.lit("\0"), e))
-        return F.struct(F.coalesce(to, acc["state"]).alias("state"), (acc["moved"] + to.isNotNull().cast("int")).alias("moved"), (acc["refused"] + to.isNull().cast("int")).alias("refused"))
-
-    return df.groupBy(*keys).agg(rows.alias("rows__")).select(*keys, F.aggregate("rows__", seed, fold).alias("x")).select(*keys, "x.*")
+    small = df.select(*keys, F.col(at).alias("at__"), F.col(tie).alias("tie__"), F.col(event).alias("event__"))
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*keys, "state", "moved", "refused"]
+        held, state, last = None, None, None
+
+        def done(rows: list, states: list, types: list) -> pa.RecordBatch:
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            kinds = (pa.string(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([*columns, *[pa.array([s[i] for s in states], k) for i, k in enumerate(kinds)]], names=names)
+
+        types: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            types = [c.type for c in batch.columns[:width]]
+            rows, states = [], []
+            for i, (new, e) in enumerate(zip(starts(batch, last), batch.column(width + 2).to_pylist(), strict=True)):
+                if new:
+                    if held is not None:
+                        rows.append(held)
+                        states.append(state)
+                    held, state = [c[i].as_py() for c in batch.columns[:width]], [initial, 0, 0]
+                to = rules.get((state[0], e))
+                state = [state[0], state[1], state[2] + 1] if to is None else [to, state[1] + 1, state[2]]
+            last = batch.column(width + 3)[batch.num_rows - 1].as_py()
+            if rows:
+                yield done(rows, states, types)
+        if held is not None:
+            yield done([held], [state], types)
+
+    return in_order(small, keys, "at__", "tie__", run, f"{ddl(df.select(*keys))}, state string, moved int, refused int")
 
 
 def dot(rules: dict[tuple[str, str], str]) -> str:
@@ -137,12 +168,20 @@ def dot(rules: dict[tuple[str, str], str]) -> str:
     return "digraph {\n" + "".join(f'  "{s}" -> "{to}" [label="{e}"];\n' for (s, e), to in sorted(rules.items())) + "}\n"
 
 
-def delay(kind: str, attempt: Column, initial: int = 100, most: int = 30_000, factor: float = 2.0, step: int = 100) -> Column:
-    """Milliseconds to wait before an attempt, counted from 1 (smaller ones count as 1): exponential, linear or constant, at most `most`; values of 0 or less count as their defaults."""
+def delay(kind: str, attempt: Column, initial: int = 100, most: int = 30_000, factor: float = 2.0, step: int = 100, jitter: str = "none", seed: Column | None = None) -> Column:
+    """Milliseconds to wait before an attempt, counted from 1 (smaller ones count as 1): exponential, linear or constant.
+
+    At most `most`, which is raised to `initial`; an initial or most of 0 or less and a factor of at most 1 count as
+    their defaults. Jitter: full is uniform from 0 to the delay, equal from half of it to all of it; it is drawn from a
+    hash of the column `seed` and the attempt, so reruns agree."""
     n = F.greatest(attempt, F.lit(1))
-    initial, most, factor = initial if initial > 0 else 100, most if most > 0 else 30_000, factor if factor > 0 else 2.0
+    initial, most, factor = initial if initial > 0 else 100, most if most > 0 else 30_000, factor if factor > 1 else 2.0
     raw = {"exponential": initial * F.pow(F.lit(factor), (n - 1).cast("double")), "linear": (initial + (n - 1) * step).cast("double"), "constant": F.lit(float(initial))}[kind]
-    return F.floor(F.least(raw, F.lit(float(most))))
+    whole = F.least(raw, F.lit(float(max(most, initial))))
+    if jitter != "none":
+        drawn = F.pmod(F.xxhash64(seed if seed is not None else F.lit(0), n), F.lit(1 << 32)) / float(1 << 32)
+        whole = {"full": whole * drawn, "equal": whole / 2 + whole / 2 * drawn}[jitter]
+    return F.floor(whole)
 
 
 def smoothed(value: str, order: str, keep: float = 0.9) -> Column:
@@ -152,6 +191,11 @@ def smoothed(value: str, order: str, keep: float = 0.9) -> Column:
 
 
 def correlate(requests: DataFrame, replies: DataFrame, key: str, at: str, reply_at: str, timeout: int) -> DataFrame:
-    """`requests` with the time of the first reply of the same key within `timeout`, null if there is none."""
-    first = requests.select(key, at).distinct().join(replies.select(key, reply_at), key).where(F.expr(f"{reply_at} >= {at} and {reply_at} < {at} + {timeout}"))
-    return requests.join(first.groupBy(key, at).agg(F.min(reply_at).alias("replied")), [key, at], "left")
+    """`requests` with the time of the first reply of the same key within `timeout`, null if there is none.
+
+    Both go through one window a key, latest first, so no pair of a request and a reply is ever made."""
+    q = requests.select(F.col(key).alias("key__"), F.col(at).cast("bigint").alias("at__"), F.lit(None).cast("bigint").alias("reply__"), F.struct(*[f"`{c}`" for c in requests.columns]).alias("row__"))
+    r = replies.select(F.col(key).alias("key__"), F.col(reply_at).cast("bigint").alias("at__"), F.col(reply_at).cast("bigint").alias("reply__"))
+    w = Window.partitionBy("key__").orderBy(F.desc("at__"), F.col("reply__").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = q.unionByName(r, allowMissingColumns=True).withColumn("next__", F.last("reply__", ignorenulls=True).over(w)).where("row__ is not null")
+    return both.select("row__.*", F.when(F.col("key__").isNotNull() & (F.col("next__") < F.col("at__") + timeout), F.col("next__")).alias("replied"))

@@ -14,7 +14,7 @@ from tidewheel.sources.tables import table
 @query("hex_encode", "SELECT p_partkey, lower(hex(p_name)) AS h, p_name AS back, lower(to_hex(p_partkey)) AS n, p_partkey AS parsed, NULL::VARCHAR AS odd FROM part")
 def _(spark, d):
     b, k = F.col("p_name").cast("binary"), F.col("p_partkey")
-    return table(spark, d, "part").select("p_partkey", C.hex_encode(b).alias("h"), C.hex_decode(C.hex_encode(b)).cast("string").alias("back"), C.hex_number(k).alias("n"), C.parse_hex(C.hex_number(k)).alias("parsed"), C.hex_decode(F.lit("abc")).cast("string").alias("odd"))
+    return table(spark, d, "part").select("p_partkey", C.hex_encode(b).alias("h"), C.hex_decode(C.hex_encode(b)).cast("string").alias("back"), C.hex_number(k).alias("n"), C.parse_hex(C.hex_number(k)).cast("bigint").alias("parsed"), C.hex_decode(F.lit("abc")).cast("string").alias("odd"))
 
 
 @query("base64_url", "SELECT p_partkey, rtrim(translate(base64(encode(p_name || '>>?')), '+/', '-_'), '=') AS v FROM part")
@@ -27,10 +27,10 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.is_valid_utf8("text").alias("whole"), F.is_valid_utf8(F.concat(F.col("lang").cast("binary"), F.unhex(F.lit("C3"))).cast("string")).alias("cut"))
 
 
-@query("zigzag", "SELECT o_orderkey, o_orderkey * 2 AS up, o_orderkey * 2 - 1 AS down, -o_orderkey AS back FROM orders WHERE o_orderkey > 0")
+@query("zigzag", "SELECT o_orderkey, o_orderkey * 2 AS up, CASE WHEN o_orderkey > 0 THEN o_orderkey * 2 - 1 ELSE o_orderkey * -2 END AS down, -o_orderkey AS back FROM orders")
 def _(spark, d):
     k = F.col("o_orderkey")
-    return table(spark, d, "orders").where("o_orderkey > 0").select("o_orderkey", C.zigzag(k).alias("up"), C.zigzag(-k).alias("down"), C.unzigzag(C.zigzag(-k)).alias("back"))
+    return table(spark, d, "orders").select("o_orderkey", C.zigzag(k).alias("up"), C.zigzag(-k).alias("down"), C.unzigzag(C.zigzag(-k)).alias("back"))
 
 
 @query("quic_varint", "SELECT o_orderkey, v, CASE WHEN v <= 63 THEN 1 WHEN v <= 16383 THEN 2 WHEN v <= 1073741823 THEN 4 ELSE 8 END AS n, v AS back FROM (SELECT o_orderkey, o_orderkey * o_orderkey * o_orderkey AS v FROM orders)")
@@ -47,6 +47,78 @@ def _(spark, d):
     return out.select("o_orderkey", "v", F.length("b").alias("n"), C.uvarint_decode(F.col("b"))["value"].alias("back"))
 
 
+#: Fixed values of the two formats: a number, its bytes.
+VARINTS = [(0, "00"), (1, "01"), (127, "7f"), (128, "8001"), (300, "ac02"), (16384, "808001"), (2**63 - 1, "ffffffffffffffff7f"), (-1, "ffffffffffffffffff01"), (-(2**63), "80808080808080808001")]
+QUIC = [(37, "25"), (15293, "7bbd"), (494878333, "9d7f3e7d"), (151288809941952652, "c2197c5eff14e88c")]
+
+
+@query("uvarint_bytes", "SELECT * FROM (VALUES " + ", ".join(f"('{x}'::BIGINT, '{h}', '{x}'::BIGINT, {len(h) // 2}, {x % 2**64}::HUGEINT::VARCHAR)" for x, h in VARINTS) + ") t(x, h, back, size, whole)")
+def _(spark, d):
+    rows = spark.createDataFrame([(x,) for x, _ in VARINTS], "x bigint").withColumn("b", C.uvarint_encode(F.col("x"))).withColumn("r", C.uvarint_decode(F.concat("b", F.unhex(F.lit("ff")))))
+    return rows.select("x", C.hex_encode(F.col("b")).alias("h"), F.col("r.value").alias("back"), F.col("r.size").alias("size"), C.unsigned(F.col("r.value")).cast("string").alias("whole"))
+
+
+@query("uvarint_faults", "SELECT * FROM (VALUES ('', NULL::BIGINT), ('80', NULL), ('ffffffffffffffffff02', NULL), ('8080808080808080808001', NULL), ('ff', NULL), ('05', 5)) t(h, v)")
+def _(spark, d):
+    rows = spark.createDataFrame([("",), ("80",), ("ffffffffffffffffff02",), ("8080808080808080808001",), ("ff",), ("05",)], "h string")
+    return rows.select("h", C.uvarint_decode(F.unhex("h"))["value"].alias("v"))
+
+
+@query("quic_sequence", "SELECT '" + "".join(h for _, h in QUIC) + "' AS h, '" + ",".join(str(x) for x, _ in QUIC) + "' AS v, 0 AS rest UNION ALL SELECT '25c2', '37', 1 UNION ALL SELECT '', '', 0")
+def _(spark, d):
+    whole = F.concat(*[C.quic_encode(F.lit(x)) for x, _ in QUIC])
+    rows = spark.range(1).select(C.hex_encode(whole).alias("h")).unionByName(spark.createDataFrame([("25c2",), ("",)], "h string")).withColumn("r", C.quic_sequence(F.unhex("h")))
+    return rows.select("h", F.array_join(F.transform("r.values", lambda x: x.cast("string")), ",").alias("v"), F.col("r.rest").alias("rest"))
+
+
+@query("unsigned_words", "SELECT * FROM (VALUES ('ffffffffffffffff', '18446744073709551615', '18446744073709551615'), ('0000000000000001', '1', '72057594037927936'), ('8000000000000000', '9223372036854775808', '128')) t(h, be, le)")
+def _(spark, d):
+    rows = spark.createDataFrame([("ffffffffffffffff",), ("0000000000000001",), ("8000000000000000",)], "h string")
+    b = F.unhex("h")
+    return rows.where(C.parse_hex(F.col("h")) == C.load_u64(b, 0)).select("h", C.load_u64(b, 0).cast("string").alias("be"), C.load_u64(b, 0, little=True).cast("string").alias("le"))
+
+
+PAIRS = [('{"a":1,"a":[2, 3],"b":null}', 'a=1;a=[2, 3];b=null'), (' { "k" : "x\\u0041" } ', 'k="x\\u0041"'), ('{"a":1,oops', 'a=1'), ("[1]", ""), ("{}", "")]
+
+
+@query("json_pairs", "SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{v}')" for s, v in PAIRS) + ") t(s, v)")
+def _(spark, d):
+    rows = spark.createDataFrame([(s,) for s, _ in PAIRS], "s string")
+    return rows.select("s", F.array_join(F.transform(V.json_pairs(F.col("s")), lambda p: F.concat(p["key"], F.lit("="), p["value"])), ";").alias("v"))
+
+
+@query("json_escaped", r"""SELECT r_regionkey, '{"id":' || r_regionkey || ',"name":"\u003c' || r_name || '\u0026"}' AS v, '{' || chr(10) || '  "id": ' || r_regionkey || chr(10) || '}' AS indented FROM region""")
+def _(spark, d):
+    made = V.json_marshalled({"id": F.col("r_regionkey"), "name": F.concat(F.lit("<"), "r_name", F.lit("&")), "gone": F.lit(None).cast("string")})
+    return table(spark, d, "region").select("r_regionkey", made.alias("v"), V.json_indented(F.to_json(F.struct(F.col("r_regionkey").alias("id")))).alias("indented"))
+
+
+@query("json_strict", "SELECT event_id, (props->>'k')::BIGINT AS known, NULL::BIGINT AS unknown FROM events")
+def _(spark, d):
+    s = F.col("props")
+    more = F.regexp_replace(s, r"^\{", '{"z":1,')
+    return table(spark, d, "events").select("event_id", V.json_strict(s, "k bigint", ["k"])["k"].alias("known"), V.json_strict(more, "k bigint", ["k"])["k"].alias("unknown"))
+
+
+@query("type_checks", "SELECT o_orderkey, true AS numeric, false AS text_numeric, false AS same, CASE WHEN o_totalprice = floor(o_totalprice) THEN o_totalprice::BIGINT END AS whole, NULL::BIGINT AS junk FROM orders")
+def _(spark, d):
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    return table(spark, d, "orders").select("o_orderkey", V.is_numeric(k).alias("numeric"), V.is_numeric(p).alias("text_numeric"), V.same_type(k, p).alias("same"), V.as_int64(F.col("o_totalprice")).alias("whole"), V.as_int64(p).alias("junk"))
+
+
+@query("sealed_bodies", "SELECT r_regionkey, r_name AS back, true AS tampered, 12 + length(r_name) + 16 AS n, left(r_name, 3) AS clipped FROM region")
+def _(spark, d):
+    key, plain = F.lit("0123456789abcdef").cast("binary"), F.col("r_name").cast("binary")
+    rows = table(spark, d, "region").withColumn("s", V.sealed(plain, key, F.lit("nonce0000000").cast("binary"), "extra"))
+    return rows.select("r_regionkey", V.opened(F.col("s"), key, "extra").cast("string").alias("back"), V.opened(F.col("s"), key, "other").isNull().alias("tampered"), F.octet_length("s").alias("n"), V.clipped(plain, F.lit(3)).cast("string").alias("clipped"))
+
+
+@query("uuid_forms", "SELECT p_partkey, substr(md5(p_name), 1, 8) || '-' || substr(md5(p_name), 9, 4) || '-' || substr(md5(p_name), 13, 4) || '-' || substr(md5(p_name), 17, 4) || '-' || substr(md5(p_name), 21) AS s, md5(p_name) AS h FROM part")
+def _(spark, d):
+    s = V.uuid_format(F.unhex(F.md5("p_name")))
+    return table(spark, d, "part").select("p_partkey", s.alias("s"), C.hex_encode(V.uuid_bytes(s)).alias("h"))
+
+
 @query("byte_order", "SELECT o_orderkey, o_orderkey % 65536 AS be16, o_orderkey AS be32, (o_orderkey % 256) * 256 + (o_orderkey // 256) % 256 AS swapped, NULL::BIGINT AS beyond FROM orders")
 def _(spark, d):
     k = F.col("o_orderkey")

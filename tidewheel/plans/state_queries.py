@@ -57,7 +57,14 @@ def _(spark, d):
     return stateful.token_bucket(events(spark, d), ["user_id"], "at", "event_id", 0.00002, 3).select("event_id")
 
 
-@query("keyed_limiter")
+@query(
+    "keyed_limiter",
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events), r AS (
+    SELECT user_id, event_type, n, 0.0::DOUBLE AS tokens, us AS last, true AS ok, event_id FROM e WHERE n = 1 UNION ALL
+    SELECT user_id, event_type, n, CASE WHEN have >= 1 THEN have - 1 ELSE tokens END, CASE WHEN have >= 1 THEN us ELSE last END, have >= 1, event_id FROM (
+      SELECT e.user_id, e.event_type, e.n, e.us, e.event_id, r.tokens, r.last, least(1.0::DOUBLE, r.tokens + greatest(e.us - r.last, 0) / 1000000.0::DOUBLE * 0.00001::DOUBLE) AS have FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.n = r.n + 1))
+    SELECT event_id FROM r WHERE ok""",
+)
 def _(spark, d):
     return stateful.token_bucket(events(spark, d), ["user_id", "event_type"], "at", "event_id", 0.00001, 1).select("event_id")
 
@@ -68,7 +75,18 @@ def _(spark, d):
     return out.select("event_id", "requests", "failures", "tripped")
 
 
-@query("breaker_states")
+@query(
+    "breaker_states",
+    f"""WITH RECURSIVE e AS ({ORDERED}), r AS (
+    SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS opened, []::STRUCT(t BIGINT, bad BOOLEAN)[] AS past, true AS admitted, 'closed' AS state, NULL::BIGINT AS event_id FROM (SELECT DISTINCT user_id FROM events) UNION ALL
+    SELECT user_id, n,
+      CASE WHEN refused THEN opened WHEN probe THEN CASE WHEN bad THEN us END WHEN trips THEN us END,
+      CASE WHEN refused OR probe OR trips THEN []::STRUCT(t BIGINT, bad BOOLEAN)[] ELSE seen END, NOT refused,
+      CASE WHEN refused THEN 'open' WHEN probe THEN CASE WHEN bad THEN 'open' ELSE 'closed' END WHEN trips THEN 'open' ELSE 'closed' END, event_id
+    FROM (SELECT *, opened IS NOT NULL AND us - opened <= {12 * HOUR} AS refused, opened IS NOT NULL AND us - opened > {12 * HOUR} AS probe, len(seen) >= 3 AND len(list_filter(seen, lambda p: p.bad)) >= 0.5 * len(seen) AS trips
+      FROM (SELECT e.user_id, e.n, e.event_id, e.us, e.event_type = 'error' AS bad, r.opened, list_filter(list_append(r.past, {{'t': e.us, 'bad': e.event_type = 'error'}}), lambda p: p.t >= e.us - {24 * HOUR}) AS seen FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)))
+    SELECT event_id, admitted, state FROM r WHERE n > 0""",
+)
 def _(spark, d):
     ev = events(spark, d).withColumn("failed", F.col("event_type") == "error")
     return stateful.breaker(ev, ["user_id"], "at", "event_id", "failed", 24 * HOUR, 3, 0.5, 12 * HOUR).select("event_id", "admitted", "state")
@@ -98,6 +116,27 @@ def _(spark, d):
     return stateful.correlate(ev.where("event_type = 'click'"), replies, "user_id", "at", "reply_at", 6 * HOUR).select("event_id", "replied")
 
 
+@query(
+    "sample_interval",
+    f"""WITH RECURSIVE e AS ({ORDERED}), r AS (
+    SELECT user_id, n, us AS last, true AS ok, event_id FROM e WHERE n = 1 UNION ALL
+    SELECT user_id, n, CASE WHEN go THEN us ELSE last END, go, event_id FROM (SELECT e.user_id, e.n, e.us, e.event_id, r.last, e.n - 1 < 2 OR (e.n - 1) % 10 = 0 OR e.us - r.last >= {24 * HOUR} AS go FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+    SELECT event_id FROM r WHERE ok""",
+)
+def _(spark, d):
+    return stateful.sometimes(events(spark, d), ["user_id"], "at", "event_id", first=2, every=10, interval=24 * HOUR).select("event_id")
+
+
+@query("backoff_bounds", "SELECT * FROM (VALUES (1, 500, 200, 50), (2, 500, 400, 100), (3, 500, 800, 200), (0, 500, 200, 50)) t(n, raised, doubled, half)")
+def _(spark, d):
+    n = F.col("n")
+    full = stateful.delay("exponential", n, initial=50, most=10**6, jitter="full", seed=n)
+    half = stateful.delay("exponential", n, initial=100, most=10**6, jitter="equal", seed=n)
+    rows = spark.createDataFrame([(1,), (2,), (3,), (0,)], "n int")
+    least = F.floor(stateful.delay("exponential", n, initial=100, most=10**6) / 2)
+    return rows.where((full >= 0) & (full <= 50 * F.pow(F.lit(2.0), F.greatest(n, F.lit(1)) - 1)) & (half >= least) & (half <= 2 * least)).select("n", stateful.delay("exponential", n, initial=500, most=100).alias("raised"), stateful.delay("exponential", n, initial=200, factor=1.0).alias("doubled"), least.alias("half"))
+
+
 @query("backoff_delays", "SELECT n_nationkey, floor(least(100 * pow(2.0, greatest(n_nationkey, 1) - 1), 30000))::BIGINT AS exponential, floor(least(100 + (greatest(n_nationkey, 1) - 1) * 250, 2000))::BIGINT AS linear, 100::BIGINT AS fixed FROM nation")
 def _(spark, d):
     n = F.col("n_nationkey")
@@ -120,7 +159,7 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", text.alias("text"), F.unix_micros(V.parse_http_date(text)).alias("back"))
 
 
-@query("time_range", "SELECT o_orderkey, unnest(generate_series(o_orderdate, o_orderdate + INTERVAL 2 DAY, INTERVAL 12 HOUR)) AS at FROM orders WHERE o_orderkey % 10 = 0")
+@query("time_range", "SELECT o_orderkey, unnest(generate_series(o_orderdate, o_orderdate + INTERVAL 2 DAY, INTERVAL 12 HOUR)) AS at FROM orders")
 def _(spark, d):
     day = F.col("o_orderdate")
     return table(spark, d, "orders").select("o_orderkey", F.explode(V.time_range(day, day + F.expr("INTERVAL 2 DAYS"), "12 HOURS")).alias("at"))

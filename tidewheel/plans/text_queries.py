@@ -37,7 +37,7 @@ for _name, _f, _sql in (
     query(_name, f"SELECT p_partkey, {_sql} AS v FROM {_WORDS_OF}")(_case)
 
 
-@query("ascii_fold", "SELECT doc_id, translate(left(text, 80), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'license') AS has, translate(lang, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = 'en' AS same FROM documents")
+@query("ascii_fold", "SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'license') AS has, translate(lang, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = 'en' AS same FROM documents")
 def _(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", X.ascii_lower(t).alias("low"), X.contains_fold(t, F.lit("LICENSE")).alias("has"), X.equal_fold(F.col("lang"), F.lit("EN")).alias("same"))
@@ -73,12 +73,12 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", X.index_of(n, "e").cast("bigint").alias("e"), X.index_of_two(n, "r", "w").cast("bigint").alias("either"), X.match_head(F.col("p_type"), "ECONOMY", 4).alias("head"))
 
 
-@query("common_prefix", "SELECT p_partkey, (SELECT max(i) FROM range(0, 21) t(i) WHERE i <= least(length(p_name), length(p_type)) AND left(lower(p_type), i) = left(p_name, i))::INT AS n FROM part")
+@query("common_prefix", "SELECT p_partkey, (SELECT max(i) FROM range(0, 1 + length(p_name)) t(i) WHERE i <= least(length(p_name), length(p_type)) AND left(lower(p_type), i) = left(p_name, i))::INT AS n FROM part")
 def _(spark, d):
-    return table(spark, d, "part").select("p_partkey", X.common_prefix(F.lower("p_type"), F.col("p_name"), 20).alias("n"))
+    return table(spark, d, "part").select("p_partkey", X.common_prefix(F.lower("p_type"), F.col("p_name")).alias("n"))
 
 
-@query("html_escape", r"""SELECT page_id, replace(replace(replace(substr(html, 1, 200), '<', '\u003c'), '>', '\u003e'), '&', '\u0026') AS v FROM pages""")
+@query("html_escape", r"""SELECT page_id, replace(replace(replace(replace(replace(html, '<', '\u003c'), '>', '\u003e'), '&', '\u0026'), chr(8232), '\u2028'), chr(8233), '\u2029') AS v FROM pages""")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", X.html_escape(F.col("html")).alias("v"))
 
@@ -119,7 +119,7 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", U.query_value(U.view(F.col("url"))["query"], "page").alias("v"))
 
 
-@query("url_escape", "SELECT doc_id, url_encode(left(text, 60)) AS escaped, left(text, 60) AS back FROM documents")
+@query("url_escape", "SELECT doc_id, url_encode(text) AS escaped, text AS back FROM documents")
 def _(spark, d):
     e = U.query_escape(F.col("text"))
     return table(spark, d, "documents").select("doc_id", e.alias("escaped"), U.path_unescape(e).alias("back"))
@@ -147,10 +147,54 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", U.resolve(F.col("url"), F.lit("/a/../b?x=1")).alias("v"))
 
 
-@query("ip_private", "SELECT * FROM (VALUES ('127.0.0.1', true), ('100.64.0.1', true), ('fc00::1', true), ('8.8.8.8', false), ('10.1.2.3', true), ('172.32.0.1', false), ('192.168.1.1', true), ('::1', true), ('fe80::1', true), ('2001:db8::1', false), ('::ffff:10.0.0.1', true)) t(ip, private)")
+def literal_rows(rows):
+    """SQL for a table of literal rows."""
+    def one(x):
+        return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+
+    return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + ")"
+
+
+PRIVATE = [
+    ("127.0.0.1", True), ("100.64.0.1", True), ("100.128.0.1", False), ("fc00::1", True), ("8.8.8.8", False), ("10.1.2.3", True), ("172.32.0.1", False), ("172.31.0.1", True),
+    ("192.168.1.1", True), ("::1", True), ("fe80::1", True), ("2001:db8::1", False), ("::ffff:10.0.0.1", True), ("::ffff:8.8.8.8", False), ("0:0:0:0:0:0:0:1", True), ("0::1", True),
+    ("::0001", True), ("::ffff:7f00:1", True), ("::ffff:c0a8:101", True), ("::ffff:808:808", False), ("::", True), ("FEBF::1", True), ("fec0::1", False), ("ff02::1", True), ("ff05::2", False),
+    ("FD12:3456::", True), ("no address", True), ("1.2.3", True), ("01.2.3.4", True), ("1::2::3", True), ("2001:db8:0:0:0:0:0:0:1", True), ("2001:db8:1:2:3:4:5:6", False), ("1:2:3:4:5:6:8.8.8.8", False), ("224.0.0.5", True), ("225.0.0.5", False),
+]
+
+
+@query("ip_private", f"SELECT * FROM {literal_rows(PRIVATE)} t(ip, private)")
+def _(spark, d):
+    return spark.createDataFrame([(x,) for x, _ in PRIVATE], "ip string").select("ip", U.is_private(F.col("ip")).alias("private"))
+
+
+CASES = [
+    ("HTTPServerURL", "http_server_url", "HttpServerUrl"), ("fooÉtat", "foo_état", "FooÉtat"), ("ÉCOLEName", "école_name", "ÉcoleName"), ("userID42x", "user_id42x", "UserId42x"),
+    ("a--b..c/d e", "a_b_c_d_e", "ABCDE"), ("_lead", "lead", "Lead"), ("ÀÉÎ", "àéî", "Àéî"), ("straßeÖl", "straße_öl", "StraßeÖl"), ("", "", ""), ("ABc", "a_bc", "ABc"), ("1A", "1_a", "1A"),
+]
+
+
+@query("casing_literals", f"SELECT * FROM {literal_rows(CASES)} t(s, snake, pascal)")
+def _(spark, d):
+    s = F.col("s")
+    return spark.createDataFrame([(x[0],) for x in CASES], "s string").select("s", X.snake(s).alias("snake"), X.pascal(s).alias("pascal"))
+
+
+UNDER = [
+    ("https://h/api/v1", "/users", "https://h/api/v1/users"), ("https://h/api/v1/", "users/", "https://h/api/v1/users/"), ("https://h/api/v1", "../x", "https://h/api/x"), ("https://h", "x?a=1#f", "https://h/x?a=1#f"),
+    ("https://h/a?k=1#g", "b?m=2", "https://h/a/b?k=1&m=2#g"), ("https://h/a", "//o/p", "https://o/p"), ("https://h/a", "http://z/q", "http://z/q"), ("https://h/a", "", "https://h/a"), ("https://h/a/", "/", "https://h/a/"), ("https://h/", "/", "https://h/"), ("https://h/a", "?x=1", "https://h/a?x=1"),
+]
+
+
+@query("url_resolve_under", f"SELECT *, CASE WHEN base LIKE '%/' THEN base ELSE base || '/' END AS normal FROM {literal_rows(UNDER)} t(base, ref, v)")
+def _(spark, d):
+    b = F.col("base")
+    return spark.createDataFrame([x[:2] for x in UNDER], "base string, ref string").select("base", "ref", P.resolve_under(b, F.col("ref")).alias("v"), P.normal_base(b).alias("normal"))
+
+
+@query("chain_and_names", "SELECT page_id, upper(trim(url)) || '!' AS v, regexp_extract(regexp_extract(url, '^[^?#]*'), '[.]([^./]*)$', 1) AS ext FROM pages")
 def _(spark, d):
-    rows = ["127.0.0.1", "100.64.0.1", "fc00::1", "8.8.8.8", "10.1.2.3", "172.32.0.1", "192.168.1.1", "::1", "fe80::1", "2001:db8::1", "::ffff:10.0.0.1"]
-    return spark.createDataFrame([(x,) for x in rows], "ip string").select("ip", U.is_private(F.col("ip")).alias("private"))
+    return table(spark, d, "pages").select("page_id", X.chain(F.col("url"), F.trim, F.upper, lambda s: F.concat(s, F.lit("!"))).alias("v"), X.file_extension(F.regexp_extract("url", "^[^?#]*", 0)).alias("ext"))
 
 
 @query("clean_host", "SELECT * FROM (VALUES ('fe80::1%eth0', 'fe80::1'), ('[fe80::1%eth0]', '[fe80::1]'), ('президент.рф', 'xn--d1abbgf6aiiy.xn--p1ai'), ('Example.COM', 'example.com')) t(host, clean)")

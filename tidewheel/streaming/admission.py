@@ -1,7 +1,6 @@
 """Admission rules over streams: one state a key, in the order of the clock column within each micro-batch.
 
-A rule is a class with a first state and a step; the batch forms in tidewheel.operators.stateful follow the same
-boundaries, and tests hold the two against each other. Streams should arrive about in order: a row older than
+The rules are those of the batch operators (tidewheel.operators.rules). Streams should arrive about in order: a row older than
 the state it meets is judged at the state's time. Keys idle for `idle` milliseconds are dropped, if it
 is given; a query with such a timeout keeps making batches, so one that should end when its input does goes without."""
 
@@ -15,45 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewheel.operators.rules import SlidingWindow, Sometimes, Throttle, TokenBucket
 
-class Throttle:
-    def __init__(self, interval: int):
-        self.interval = interval
-
-    def first(self):
-        return None
-
-    def step(self, last, now: int):
-        ok = last is None or now - last >= self.interval
-        return ok, now if ok else last
-
-
-class SlidingWindow:
-    def __init__(self, limit: int, window: int):
-        self.limit, self.window = limit, window
-
-    def first(self):
-        return []
-
-    def step(self, past: list, now: int):
-        live = [t for t in past if t > now - self.window]
-        ok = len(live) < self.limit
-        return ok, [*live, now] if ok else past
-
-
-class TokenBucket:
-    def __init__(self, rate: float, burst: int, cost: int = 1):
-        self.rate, self.burst, self.cost = rate, burst, cost
-
-    def first(self):
-        return [float(self.burst), None]
-
-    def step(self, state: list, now: int):
-        tokens, last = state
-        gained = 0.0 if last is None else max(now - last, 0) / 1_000_000.0 * self.rate
-        have = min(float(self.burst), tokens + gained)
-        ok = have >= self.cost
-        return ok, [have - self.cost, now] if ok else state
+__all__ = ["SlidingWindow", "Sometimes", "Throttle", "TokenBucket", "admitted", "correlated", "debounced", "once_per_key", "routed", "windowed_counts"]
 
 
 def admitted(df: DataFrame, key: str, at: str, tie: str, rule, idle: int | None = None) -> DataFrame:
