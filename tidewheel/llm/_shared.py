@@ -14,7 +14,7 @@ from tidewheel.sources.shared import written
 
 #: A word: a longest run of bytes that are neither a space nor TAB..CR.
 WORD = r"[^\x20\x09-\x0D]+"
-__all__ = ["BROADCAST_BYTES", "HOT", "WORD", "ascii_lower", "column_list", "dealt_join", "hot_keys", "in_arrow", "mix64", "remainder", "sampled_labels", "slices_of", "small", "text_bytes", "without", "written"]
+__all__ = ["BROADCAST_BYTES", "HOT", "WORD", "ascii_lower", "beside", "column_list", "dealt_join", "hot_keys", "in_arrow", "mix64", "remainder", "sampled_labels", "slices_of", "small", "text_bytes", "without", "written"]
 
 #: Bytes that may be broadcast at most; beyond this the same join runs shuffled. Rows of a key from which a join deals it out.
 BROADCAST_BYTES, HOT = 32_000_000, 500
@@ -113,3 +113,11 @@ def dealt_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | Non
 def without(df: DataFrame, *names: str) -> DataFrame:
     """`df` without the columns of these names, which an operator's results take."""
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in names])
+
+
+def beside(keep: tuple[str, ...], column: str) -> Column:
+    """`column` under a name that none of the kept ones has."""
+    name = f"{column}__"
+    while name.lower() in {k.lower() for k in keep}:
+        name += "_"
+    return F.col(column).alias(name)

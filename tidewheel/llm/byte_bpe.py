@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewheel.llm._shared import column_list, in_arrow, mix64, slices_of, text_bytes
+from tidewheel.llm._shared import beside, column_list, in_arrow, mix64, slices_of, text_bytes
 
 #: A rank file is sent to every executor; larger ones are refused.
 MOST_RANK_BYTES = 64_000_000
@@ -412,7 +412,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", keep: tuple[str,
                     columns.append(pa.array([v.decode(a, b) for a, b in zip(ids, ends, strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", "ids", "ends", *["decoded"] * decoded])
 
-    return df.select(*keep, text).transform(in_arrow, run, f"{column_list(df, keep)}, n_tokens bigint, ids binary, ends binary" + ", decoded binary" * decoded)
+    return df.select(*keep, beside(keep, text)).transform(in_arrow, run, f"{column_list(df, keep)}, n_tokens bigint, ids binary, ends binary" + ", decoded binary" * decoded)
 
 
 def decode(df: DataFrame, ranks_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

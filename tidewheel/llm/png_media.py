@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewheel.llm._shared import column_list, in_arrow, slices_of, text_bytes
+from tidewheel.llm._shared import beside, column_list, in_arrow, slices_of, text_bytes
 
 #: Fixed values of the format: signature, colour type to channels.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -181,7 +181,7 @@ def store(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
                 media = [encode_png(np.frombuffer(x.ljust(max(1, -(-len(x) // WIDTH)) * WIDTH, b"\0"), np.uint8).reshape(-1, WIDTH)) for x in texts]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], names=[*keep, "n_bytes", "media"])
 
-    return df.select(*keep, text).transform(in_arrow, run, f"{column_list(df, keep)}, n_bytes bigint, media binary")
+    return df.select(*keep, beside(keep, text)).transform(in_arrow, run, f"{column_list(df, keep)}, n_bytes bigint, media binary")
 
 
 def load(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",), payload: bool = False) -> DataFrame:
@@ -198,4 +198,4 @@ def load(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",
                     made.append(pa.array([None if x is None else x.tobytes() for x in read], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=names)
 
-    return df.select(*keep, df[media].alias("media__")).transform(in_arrow, run, f"{column_list(df, keep)}, width int, height int, feature string" + ", payload binary" * payload)
+    return df.select(*keep, beside(keep, media)).transform(in_arrow, run, f"{column_list(df, keep)}, width int, height int, feature string" + ", payload binary" * payload)

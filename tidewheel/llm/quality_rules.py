@@ -39,7 +39,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     def parts(pattern: str) -> Column:
         return F.array_remove(F.split("text__", pattern), "")
 
-    step = df.withColumn("text__", t)
+    step = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("kept__"), t.alias("text__"))
     step = step.withColumns({
         "n__": F.length("text__"), "bytes__": F.octet_length("text__"),
         "upper__": except_("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits__": except_("0123456789"), "symbols__": except_("#$%&*@^~<>{}[]\\=_+"),
@@ -56,7 +56,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "bars": share("bars__", "n__"), "shouts": share("shouts__", "n__"), "stops": share("stops__", "n__"), "spaces": share("spaces__", "n__"), "distinct_words": share("words_own__", "words_all__"), "lines": share("lines_all__", "words_all__"),
         "distinct_lines": share("lines_own__", "lines_all__"), "sentences": share("sentences_all__", "words_all__"), "distinct_sentences": share("sentences_own__", "sentences_all__"), "wide": share("bytes__", "n__"),
     }
-    return step.select(*[df[f"`{c}`"] for c in df.columns], F.struct(*[made[x].cast("double").alias(x) for x in STATISTICS]).alias("stat"))
+    return step.select("kept__.*", F.struct(*[made[x].cast("double").alias(x) for x in STATISTICS]).alias("stat"))
 
 
 class Rules(NamedTuple):

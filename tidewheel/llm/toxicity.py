@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm._shared import column_list, in_arrow, mix64, sampled_labels, slices_of, text_bytes, written
+from tidewheel.llm._shared import beside, column_list, in_arrow, mix64, sampled_labels, slices_of, text_bytes, written
 
 #: Characters of an n-gram, hashed buckets, features kept, labelled rows used at most.
 ORDERS, BUCKETS, FEATURES, SAMPLE = (4, 5, 6), 1 << 20, 6000, 16_000
@@ -165,4 +165,4 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
                 z = intercept + np.bincount(own, weight[found], part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())], names=[*keep, "toxicity"])
 
-    return docs.select(*keep, F.col(text).alias("text__")).transform(in_arrow, run, f"{column_list(docs, keep)}, toxicity double")
+    return docs.select(*keep, beside(keep, text)).transform(in_arrow, run, f"{column_list(docs, keep)}, toxicity double")
