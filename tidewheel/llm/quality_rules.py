@@ -33,18 +33,20 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     df = without(df, "stat")
     t = F.coalesce(F.col(text), F.lit(""))
 
-    def except_(drop: str) -> Column:
-        return F.length("text__") - F.length(F.translate("text__", drop, ""))
+    classes = {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": "0123456789", "symbols": "#$%&*@^~<>{}[]\\=_+", "bars": "|", "shouts": "!?", "stops": ".,;:", "spaces": " \t\n"}
+
+    def of_class(name: str) -> Column:
+        """How many characters the first of the class stands for, once all have been replaced by it."""
+        return F.length("folded__") - F.length(F.replace("folded__", F.lit(classes[name][0]), F.lit("")))
 
     def parts(pattern: str) -> Column:
         return F.array_remove(F.split("text__", pattern), "")
 
     step = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("kept__"), t.alias("text__"))
+    step = step.withColumn("folded__", F.translate("text__", "".join(classes.values()), "".join(c[0] * len(c) for c in classes.values())))
     step = step.withColumns({
-        "n__": F.length("text__"), "bytes__": F.octet_length("text__"),
-        "upper__": except_("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits__": except_("0123456789"), "symbols__": except_("#$%&*@^~<>{}[]\\=_+"),
-        "bars__": except_("|"), "shouts__": except_("!?"), "stops__": except_(".,;:"), "spaces__": except_(" \t\n"),
-        "words__": parts("[ \\t-\\r]+"), "lines__": parts("\n"), "sentences__": parts("[.!?\\n] *"),
+        "n__": F.length("text__"), "bytes__": F.octet_length("text__"), **{f"{name}__": of_class(name) for name in classes},
+        "words__": parts("[ \\t-\\r]+"), "lines__": parts("\n"), "sentences__": parts("[.!?\n] *"),
     })
     step = step.withColumns({f"{x}_all__": F.size(f"{x}__") for x in ("words", "lines", "sentences")} | {f"{x}_own__": F.size(F.array_distinct(f"{x}__")) for x in ("words", "lines", "sentences")})
 
