@@ -106,7 +106,7 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", V.is_numeric(k).alias("numeric"), V.is_numeric(p).alias("text_numeric"), V.same_type(k, p).alias("same"), V.as_int64(F.col("o_totalprice")).alias("whole"), V.as_int64(p).alias("junk"))
 
 
-@query("sealed_bodies", "SELECT r_regionkey, r_name AS back, true AS tampered, 12 + length(r_name) + 16 AS n, left(r_name, 3) AS clipped FROM region")
+@query("sealed_bodies", "SELECT r_regionkey, r_name AS back, true AS tampered, (12 + length(r_name) + 16)::INTEGER AS n, left(r_name, 3) AS clipped FROM region")
 def _(spark, d):
     key, plain = F.lit("0123456789abcdef").cast("binary"), F.col("r_name").cast("binary")
     rows = table(spark, d, "region").withColumn("s", V.sealed(plain, key, F.lit("nonce0000000").cast("binary"), "extra"))
@@ -137,7 +137,16 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", C.fingerprint_hex(b).alias("h"), F.length(F.sha2(b, 256)).cast("bigint").alias("n"))
 
 
-@query("word_hash")
+@query(
+    "word_hash",
+    """WITH b AS (SELECT p_partkey, hex(encode(p_name)) AS h, octet_length(encode(p_name)) AS n FROM part),
+    w AS (SELECT p_partkey, list_concat([14695981039346656037::UBIGINT],
+        list_transform(range(n // 8), lambda i: ('0x' || array_to_string(list_transform(range(8), lambda j: substr(h, ((i * 8 + 7 - j) * 2 + 1)::BIGINT, 2)), ''))::UBIGINT),
+        list_transform(range(n // 8 * 8, n), lambda i: ('0x' || substr(h, (i * 2 + 1)::BIGINT, 2))::UBIGINT)) AS words,
+      array_to_string(list_transform(range(n), lambda i: printf('%02X', xor(('0x' || substr(h, (i * 2 + 1)::BIGINT, 2))::INTEGER, (4 - i % 4)::INTEGER))), '') AS masked FROM b),
+    f AS (SELECT p_partkey, masked, list_reduce(words, lambda a, x: (xor(a, x)::HUGEINT * 1099511628211 % 18446744073709551616)::UBIGINT) AS v FROM w)
+    SELECT p_partkey, CASE WHEN v >= 9223372036854775808 THEN (v::HUGEINT - 18446744073709551616)::BIGINT ELSE v::BIGINT END AS h, masked FROM f""",
+)
 def _(spark, d):
     return table(spark, d, "part").select("p_partkey", C.fnv_words(F.col("p_name").cast("binary")).alias("h"), F.hex(C.xor_mask(F.col("p_name").cast("binary"), F.lit(0x01020304))).alias("masked"))
 

@@ -140,14 +140,14 @@ def _buyers(spark, d, kind):
 
 
 for _name, _f, _sql in (
-    ("set_intersect", dataflow.set_intersect, "SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'error'"),
-    ("set_difference", dataflow.set_difference, "SELECT user_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM events WHERE event_type = 'error'"),
-    ("symmetric_difference", dataflow.symmetric_difference, "(SELECT user_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM events WHERE event_type = 'error') UNION ALL (SELECT user_id FROM events WHERE event_type = 'error' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase')"),
+    ("set_intersect", dataflow.set_intersect, "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type = 'error'"),
+    ("set_difference", dataflow.set_difference, "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type = 'error'"),
+    ("symmetric_difference", dataflow.symmetric_difference, "(SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type = 'error') UNION ALL (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type = 'error' EXCEPT SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type = 'purchase')"),
 ):
 
     def _set(spark, d, f=_f):
-        ev = table(spark, d, "events")
-        return f(ev.where("event_type = 'purchase'"), ev.where("event_type = 'error'"), ["user_id"])
+        ev = table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+        return f(ev.where("event_type = 'purchase'"), ev.where("event_type = 'error'"), ["user_id", "day"])
 
     query(_name, _sql)(_set)
 

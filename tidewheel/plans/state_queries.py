@@ -127,7 +127,7 @@ def _(spark, d):
     return stateful.sometimes(events(spark, d), ["user_id"], "at", "event_id", first=2, every=10, interval=24 * HOUR).select("event_id")
 
 
-@query("backoff_bounds", "SELECT * FROM (VALUES (1, 500, 200, 50), (2, 500, 400, 100), (3, 500, 800, 200), (0, 500, 200, 50)) t(n, raised, doubled, half)")
+@query("backoff_bounds", "SELECT n, raised::BIGINT AS raised, doubled::BIGINT AS doubled, half::BIGINT AS half FROM (VALUES (1, 500, 200, 50), (2, 500, 400, 100), (3, 500, 800, 200), (0, 500, 200, 50)) t(n, raised, doubled, half)")
 def _(spark, d):
     n = F.col("n")
     full = stateful.delay("exponential", n, initial=50, most=10**6, jitter="full", seed=n)
