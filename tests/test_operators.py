@@ -165,3 +165,40 @@ def test_json_lines_and_listing(spark, sf, tmp_path):
     assert files.walk(spark, str(tmp_path / "f"), "*.txt").count() == 1
     assert bytes(files.whole_files(spark, str(tmp_path / "f"), 100).select(files.without_bom(F.col("content")).alias("c")).first().c) == b"hi"
     assert files.whole_files(spark, str(tmp_path / "f"), 2, strict=False).count() == 0
+
+
+def test_one_open_call_an_id(spark):
+    """Against a plain loop over requests and replies: duplicates, timeouts, ties at one instant, ids kept alive."""
+    asked = [("a", 0, 1), ("a", 5, 2), ("a", 9, 3), ("a", 9, 4), ("a", 19, 5), ("b", 0, 6), ("b", 4, 7), ("b", 5, 8), (None, 0, 9), (None, 3, 10)]
+    told = [("a", 30), ("b", 4), ("c", 1), (None, 1)]
+    q, r = spark.createDataFrame(asked, "id string, at long, tie int"), spark.createDataFrame(told, "id string, back long")
+
+    def plain(keep):
+        out, opened = {}, {}
+        for at, kind, key, tie in sorted([(at, 0, str(k), t) for k, at, t in asked] + [(at, 1, str(k), 0) for k, at in told if k]):
+            held = opened.get(key)
+            if held and not keep and held[1] is None and at >= held[0] + 10:
+                held = opened.pop(key, None) and None
+            if kind == 0:
+                out[tie] = "duplicate" if held else "timeout"
+                if not held:
+                    opened[key] = [at, None, tie]
+            elif held and at < held[0] + 10 and out[held[2]] == "timeout":
+                out[held[2]] = "answered"
+                if not keep:
+                    del opened[key]
+        return out
+
+    for keep in (False, True):
+        got = stateful.tracked(q, r, "id", "at", "tie", "back", 10, keep).collect()
+        assert {x.tie: x.outcome for x in got} == plain(keep)
+        assert all((x.replied is not None) == (x.outcome == "answered") for x in got)
+    assert stateful.tracked(q.limit(0), r, "id", "at", "tie", "back", 10).count() == 0
+
+
+def test_adaptive_limit_falls_and_grows(spark):
+    """Even times grow the limit to its most, a long queue shrinks it to 1; null and zero times change nothing."""
+    rows = [("k", i, t) for i, t in enumerate([100] * 4 + [None, 0] + [100_000] * 60)]
+    df = spark.createDataFrame(rows, "k string, at long, rtt long")
+    got = [x.limit for x in stateful.adaptive_limit(df, ["k"], "at", "at", "rtt", 8, most=11).orderBy("at").collect()]
+    assert got[:6] == [9.0, 10.0, 11.0, 11.0, 11.0, 11.0] and min(got) >= 1 and got[-1] < 11 and max(got) == 11

@@ -98,3 +98,51 @@ class Breaker:
         if len(past) >= self.least and bad / len(past) >= self.threshold:
             return (True, "open"), [now, [], 0]
         return (True, "closed"), [None, past, bad]
+
+
+class Adaptive:
+    """A concurrency limit that follows round-trip times; step() takes (now, rtt) and gives (limit,) and the state.
+
+    The queue is guessed as limit * (1 - least rtt / smoothed rtt): above 5 the limit falls by 1, to 1 at least; below 2
+    it grows by 1, to `most`. The smoothed time keeps 0.9 of itself, in whole units; the least one is forgotten once
+    more than `forget` has gone by since the key's first row or the last time that was done. A time of 0 or less, or null, changes nothing."""
+
+    def __init__(self, initial: int, most: int = 1000, forget: int = 30_000_000):
+        self.initial, self.most, self.forget = float(initial), float(most), forget
+
+    def first(self):
+        return [self.initial, 0, 0, None]
+
+    def step(self, state: list, call: tuple[int, int | None]):
+        (limit, smooth, least, since), (now, rtt) = state, call
+        since = now if since is None else since
+        if rtt is None or rtt <= 0:
+            return (limit,), [limit, smooth, least, since]
+        if now - since > self.forget:
+            least, since = 0, now
+        least = rtt if least == 0 else min(least, rtt)
+        smooth = rtt if smooth <= 0 else int(0.9 * smooth + 0.1 * rtt)
+        queue = limit * (1.0 - least / smooth) if smooth else 0.0
+        if queue > 5.0:
+            limit = max(1.0, limit - 1.0)
+        elif queue < 2.0:
+            limit = min(self.most, limit + 1.0)
+        return (limit,), [limit, smooth, least, since]
+
+
+class OneOpen:
+    """At most one open call an id; step() takes (now, the time of its answer or null) and gives (accepted,) and the state.
+
+    A call is open up to its answer, that instant included, or until `timeout` has gone by; kept alive, for ever."""
+
+    def __init__(self, timeout: int, keep_alive: bool = False):
+        self.timeout, self.keep_alive = timeout, keep_alive
+
+    def first(self):
+        return None
+
+    def step(self, free, call: tuple[int, int | None]):
+        now, answered = call
+        if free is not None and (self.keep_alive or now < free):
+            return (False,), free
+        return (True,), now + self.timeout if answered is None else answered + 1

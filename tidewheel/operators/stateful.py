@@ -93,9 +93,9 @@ def failure_ratio(df: DataFrame, keys: list[str], at: str, failed: Column, windo
     return out.withColumn("tripped", (F.col("requests") >= least) & (F.col("failures") >= F.col("requests") * threshold))
 
 
-def breaker(df: DataFrame, keys: list[str], at: str, tie: str, failed: str, window: int, least: int, threshold: float, cooldown: int) -> DataFrame:
-    """`df` with admitted and state after each call of a circuit breaker (rules.Breaker); a null `failed` is none."""
-    width, rule = len(df.columns), rules.Breaker(window, least, threshold, cooldown)
+def followed(df: DataFrame, keys: list[str], at: str, tie: str, rule, seen: Column, made: dict[str, str]) -> DataFrame:
+    """`df` with the columns `made` (name to type: boolean, string or double) that a rule gives for each row's clock and `seen`; a null clock counts as 0."""
+    width, kinds = len(df.columns), {"boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, last = None, None
@@ -103,15 +103,26 @@ def breaker(df: DataFrame, keys: list[str], at: str, tie: str, failed: str, wind
             if not batch.num_rows:
                 continue
             out = []
-            for new, now, bad in zip(starts(batch, last), batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist(), strict=True):
-                found, state = rule.step(rule.first() if new else state, (now, bad))
+            for new, now, x in zip(starts(batch, last), batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist(), strict=True):
+                found, state = rule.step(rule.first() if new else state, (now, x))
                 out.append(found)
             last = batch.column(width)[batch.num_rows - 1].as_py()
-            made = [pa.array([x[0] for x in out], pa.bool_()), pa.array([x[1] for x in out], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=[*batch.schema.names[:width], "admitted", "state"])
+            more = [pa.array([x[i] for x in out], kinds[kind]) for i, kind in enumerate(made.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *more], names=[*batch.schema.names[:width], *made])
+
+    schema = ", ".join([ddl(df), *[f"`{name}` {kind}" for name, kind in made.items()]])
+    return in_order(df, keys, at, tie, run, schema, F.coalesce(F.col(at).cast("bigint"), F.lit(0)).alias("now__"), seen.alias("seen__"))
+
+
+def breaker(df: DataFrame, keys: list[str], at: str, tie: str, failed: str, window: int, least: int, threshold: float, cooldown: int) -> DataFrame:
+    """`df` with admitted and state after each call of a circuit breaker (rules.Breaker); a null `failed` is none."""
+    rule = rules.Breaker(window, least, threshold, cooldown)
+    return followed(df, keys, at, tie, rule, F.coalesce(F.col(failed), F.lit(False)), {"admitted": "boolean", "state": "string"})
+
 
-    now, bad = F.coalesce(F.col(at).cast("bigint"), F.lit(0)), F.coalesce(F.col(failed), F.lit(False))
-    return in_order(df, keys, at, tie, run, f"{ddl(df)}, admitted boolean, state string", now.alias("now__"), bad.alias("bad__"))
+def adaptive_limit(df: DataFrame, keys: list[str], at: str, tie: str, rtt: str, initial: int, most: int = 1000, forget: int = 30_000_000) -> DataFrame:
+    """`df` with limit after each finished call (rules.Adaptive), `rtt` in whole microseconds."""
+    return followed(df, keys, at, tie, rules.Adaptive(initial, most, forget), F.col(rtt).cast("bigint"), {"limit": "double"})
 
 
 def live_at(probes: DataFrame, sets: DataFrame, key: str, at: str, set_at: str, value: str, ttl: int) -> DataFrame:
@@ -199,3 +210,29 @@ def correlate(requests: DataFrame, replies: DataFrame, key: str, at: str, reply_
     w = Window.partitionBy("key__").orderBy(F.desc("at__"), F.col("reply__").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     both = q.unionByName(r, allowMissingColumns=True).withColumn("next__", F.last("reply__", ignorenulls=True).over(w)).where("row__ is not null")
     return both.select("row__.*", F.when(F.col("key__").isNotNull() & (F.col("next__") < F.col("at__") + timeout), F.col("next__")).alias("replied"))
+
+
+def tracked(requests: DataFrame, replies: DataFrame, key: str, at: str, tie: str, reply_at: str, timeout: int, keep_alive: bool = False) -> DataFrame:
+    """`requests` with replied as in correlate() and outcome: answered, timeout, or duplicate for an id still open.
+
+    The first reply, or the timeout, frees the id; kept alive, it never is. A duplicate has no reply and opens nothing.
+    At one instant a timeout comes before requests and these before replies. A null id is an id of its own, never answered."""
+    found = followed(correlate(requests, replies, key, at, reply_at, timeout), [key], at, tie, rules.OneOpen(timeout, keep_alive), F.col("replied"), {"accepted": "boolean"})
+    outcome = F.when(~F.col("accepted"), "duplicate").when(F.col("replied").isNull(), "timeout").otherwise("answered")
+    return found.withColumn("outcome", outcome).withColumn("replied", F.when(F.col("accepted"), F.col("replied"))).drop("accepted")
+
+
+def decorrelated(attempt: Column, initial: int = 100, most: int = 30_000, seed: Column | None = None) -> Column:
+    """Milliseconds to wait before an attempt, each drawn between `initial` and thrice the one before, at most `most`.
+
+    The first waits `initial`. Draws come from a digest of the column `seed` and the attempt, so reruns agree."""
+    initial, most = initial if initial > 0 else 100, most if most > 0 else 30_000
+    most, key = max(most, initial), (seed if seed is not None else F.lit("")).cast("string")
+
+    def after(last: Column, i: Column) -> Column:
+        drawn = F.conv(F.left(F.md5(F.concat_ws(":", key, i.cast("string"))), F.lit(8)), 16, 10).cast("bigint") / float(1 << 32)
+        room = F.least(last * 3, F.lit(most).cast("bigint")) - initial
+        return F.lit(initial).cast("bigint") + F.floor(drawn * F.greatest(room, F.lit(0)))
+
+    first = F.lit(initial).cast("bigint")
+    return F.when(attempt > 1, F.aggregate(F.sequence(F.lit(2), F.greatest(attempt, F.lit(2)).cast("int")), first, after)).otherwise(first)

@@ -116,6 +116,46 @@ def _(spark, d):
     return stateful.correlate(ev.where("event_type = 'click'"), replies, "user_id", "at", "reply_at", 6 * HOUR).select("event_id", "replied")
 
 
+@query(
+    "tracked_calls",
+    f"""WITH RECURSIVE q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM (SELECT q.event_id, q.user_id, q.us, min(r.us) AS answer
+      FROM (SELECT event_id, user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'click') q LEFT JOIN (SELECT user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'purchase') r ON q.user_id = r.user_id AND r.us >= q.us AND r.us < q.us + {24 * HOUR} GROUP BY ALL)),
+    r AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS opened, NULL::BIGINT AS closed, NULL::BIGINT AS event_id, NULL::BIGINT AS replied, '' AS outcome FROM (SELECT DISTINCT user_id FROM q) UNION ALL
+    SELECT user_id, n, CASE WHEN dup THEN opened ELSE us END, CASE WHEN dup THEN closed ELSE answer END, event_id, CASE WHEN NOT dup THEN answer END, CASE WHEN dup THEN 'duplicate' WHEN answer IS NULL THEN 'timeout' ELSE 'answered' END
+    FROM (SELECT q.*, r.opened, r.closed, coalesce(CASE WHEN r.closed IS NULL THEN q.us - r.opened < {24 * HOUR} ELSE q.us <= r.closed END, false) AS dup FROM r JOIN q ON q.user_id = r.user_id AND q.n = r.n + 1))
+    SELECT event_id, replied, outcome FROM r WHERE n > 0""",
+)
+def _(spark, d):
+    ev = events(spark, d)
+    replies = ev.where("event_type = 'purchase'").select("user_id", F.col("at").alias("reply_at"))
+    return stateful.tracked(ev.where("event_type = 'click'"), replies, "user_id", "at", "event_id", "reply_at", 24 * HOUR).select("event_id", "replied", "outcome")
+
+
+@query(
+    "adaptive_limit",
+    f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, 1000 + event_id * 7919 % 5000 AS rtt, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), r AS (
+    SELECT user_id, n, 11.0::DOUBLE AS lim, rtt AS smooth, rtt AS low, us AS since, event_id FROM e WHERE n = 1 UNION ALL
+    SELECT user_id, n, CASE WHEN lim * (1 - low / smooth) > 5 THEN greatest(lim - 1, 1) WHEN lim * (1 - low / smooth) < 2 THEN least(lim + 1, 1000) ELSE lim END, smooth, low, since, event_id FROM (
+      SELECT e.user_id, e.n, e.event_id, r.lim, trunc(0.9::DOUBLE * r.smooth + 0.1::DOUBLE * e.rtt)::BIGINT AS smooth, CASE WHEN e.us - r.since > {240 * HOUR} THEN e.rtt ELSE least(r.low, e.rtt) END AS low, CASE WHEN e.us - r.since > {240 * HOUR} THEN e.us ELSE r.since END AS since
+      FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+    SELECT event_id, lim AS "limit" FROM r""",
+)
+def _(spark, d):
+    ev = events(spark, d).withColumn("rtt", 1000 + F.col("event_id") * 7919 % 5000)
+    return stateful.adaptive_limit(ev, ["user_id"], "at", "event_id", "rtt", 10, forget=240 * HOUR).select("event_id", "limit")
+
+
+@query(
+    "backoff_decorrelated",
+    """WITH RECURSIVE r AS (SELECT n_nationkey, 1 AS i, 100::BIGINT AS wait FROM nation UNION ALL
+    SELECT n_nationkey, i + 1, 100 + floor(('0x' || left(md5(n_nationkey::VARCHAR || ':' || (i + 1)::VARCHAR), 8))::BIGINT / 4294967296.0::DOUBLE * (least(wait * 3, 5000) - 100))::BIGINT FROM r WHERE i < n_nationkey)
+    SELECT n_nationkey, arg_max(wait, i) AS wait FROM r GROUP BY 1""",
+)
+def _(spark, d):
+    n = F.col("n_nationkey")
+    return table(spark, d, "nation").select("n_nationkey", stateful.decorrelated(n, most=5000, seed=n).alias("wait"))
+
+
 @query(
     "sample_interval",
     f"""WITH RECURSIVE e AS ({ORDERED}), r AS (
