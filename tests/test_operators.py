@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidewheel.functions import codec, dns, text, values, wire
-from tidewheel.operators import components, dataflow, stateful
+from tidewheel.operators import components, dataflow, rules, stateful
 from tidewheel.streaming import admission
 
 
@@ -202,3 +202,11 @@ def test_adaptive_limit_falls_and_grows(spark):
     df = spark.createDataFrame(rows, "k string, at long, rtt long")
     got = [x.limit for x in stateful.adaptive_limit(df, ["k"], "at", "at", "rtt", 8, most=11).orderBy("at").collect()]
     assert got[:6] == [9.0, 10.0, 11.0, 11.0, 11.0, 11.0] and min(got) >= 1 and got[-1] < 11 and max(got) == 11
+
+
+def test_adaptive_limit_forgets_the_least_time():
+    """Once more than `forget` has gone by, an old least time no longer shrinks the limit; at exactly `forget` it does."""
+    for now, limit in ((30, 10.0), (31, 12.0)):
+        rule = rules.Adaptive(10, forget=30)
+        _, state = rule.step(rule.first(), (0, 100))
+        assert rule.step(state, (now, 1000))[0] == (limit,)
