@@ -200,6 +200,35 @@ def _(spark, d):
     return out.select("o_orderkey", "k", "s", "p", W.unpack_struct(F.col("b"), {"f": "d"})["f"].alias("f"))
 
 
+#: Fixed values of the wire format: what is encoded, its bytes.
+WIRE = [
+    ("varint 150", "089601"),
+    ("varint -1", "08ffffffffffffffffff01"),
+    ("sint -2", "1003"),
+    ("string testing", "120774657374696e67"),
+    ("float64 1.5", "19000000000000f83f"),
+    ("fixed32 1", "2501000000"),
+    ("packed 3, 270, 86942", "3206038e029ea705"),
+    ("entry a: 7", "3a050a01611007"),
+]
+
+
+@query("wire_bytes", "SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{h}')" for x, h in WIRE) + ") t(x, h)")
+def _(spark, d):
+    made = [
+        W.field(F.lit(150), 1, "varint"),
+        W.field(F.lit(-1), 1, "varint"),
+        W.field(F.lit(-2), 2, "sint"),
+        W.field(F.lit("testing"), 2, "string"),
+        W.field(F.lit(1.5), 3, "float64"),
+        W.field(F.lit(1), 4, "fixed32"),
+        W.packed(F.array(*[F.lit(x) for x in (3, 270, 86942)]), 6, "varint"),
+        W.map_entry(7, W.field(F.lit("a"), 1, "string"), W.field(F.lit(7), 2, "varint")),
+    ]
+    rows = F.array(*[F.struct(F.lit(x).alias("x"), C.hex_encode(m).alias("h")) for (x, _), m in zip(WIRE, made, strict=True)])
+    return spark.range(1).select(F.inline(rows))
+
+
 @query("wire_packed", "SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM events GROUP BY user_id")
 def _(spark, d):
     groups = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
