@@ -1,6 +1,7 @@
 """Protobuf wire format without a schema, and fixed-layout structs, in Arrow-batched functions.
 
-A malformed message gives null, never a part of it."""
+Of a malformed message, scan() gives the fields before the fault and fault() says what it is; unpacked(), walk() and
+unpack_struct() give null, never a part of it."""
 
 from __future__ import annotations
 
