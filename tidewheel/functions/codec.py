@@ -111,6 +111,20 @@ def quic_decode(b: Column) -> Column:
     return F.when((F.octet_length(b) > 0) & (F.octet_length(b) >= n), F.struct(value.alias("value"), n.alias("size")))
 
 
+def quic_encode_all(x: Column) -> Column:
+    """Any number of 64 bits: below 2**62 as quic_encode() has it; beyond, and below 0, its low 62 bits and then its two
+    top bits, as two numbers."""
+    low, top = x.bitwiseAND(F.lit((1 << 62) - 1).cast("bigint")), F.shiftrightunsigned(x, 62)
+    return F.when(top == 0, quic_encode(x)).otherwise(F.concat(quic_encode(low), quic_encode(top)))
+
+
+def quic_decode_all(b: Column) -> Column:
+    """What quic_encode_all() encoded."""
+    first = quic_decode(b)
+    rest = F.substring(b, first["size"] + 1, F.lit(8))
+    return F.when(F.octet_length(b) > first["size"], first["value"].bitwiseOR(F.shiftleft(quic_decode(rest)["value"], 62))).otherwise(first["value"])
+
+
 @batched("struct<values:array<bigint>,rest:int>")
 def quic_sequence(binaries):
     """All numbers of a binary one after another, and how many bytes of a last one that is cut off remain."""
