@@ -21,7 +21,7 @@ def by_sql(path, name):
     return sorted(c.execute(catalog.ORACLE[name]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["quic_varint"])
+@pytest.mark.parametrize("name", ["quic_varint", "uvarint"])
 def test_cubes_of_all_sizes(spark, tmp_path, name):
     fit, beyond = orders(spark, tmp_path / "fit", KEYS), orders(spark, tmp_path / "beyond", KEYS + BEYOND)
     want = by_sql(fit, name)

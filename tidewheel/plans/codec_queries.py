@@ -47,8 +47,7 @@ def _(spark, d):
 
 @query("uvarint", "SELECT o_orderkey, v, greatest(1, ceil(length(bin(v)) / 7.0))::INT AS n, v AS back FROM (SELECT o_orderkey, o_orderkey * o_orderkey * o_orderkey AS v FROM orders)")
 def _(spark, d):
-    v = F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_orderkey")
-    out = table(spark, d, "orders").select("o_orderkey", v.alias("v")).withColumn("b", C.uvarint_encode(F.col("v")))
+    out = table(spark, d, "orders").select("o_orderkey", cubed(F.col("o_orderkey")).alias("v")).withColumn("b", C.uvarint_encode(F.col("v")))
     return out.select("o_orderkey", "v", F.length("b").alias("n"), C.uvarint_decode(F.col("b"))["value"].alias("back"))
 
 
