@@ -28,3 +28,9 @@ def test_cubes_of_all_sizes(spark, tmp_path, name):
     assert sorted(tuple(x) for x in catalog.QUERIES[name](spark, fit).collect()) == want
     got = {tuple(x) for x in catalog.QUERIES[name](spark, beyond).collect()}
     assert got == {*want, *((k, None, None, None) for k in BEYOND)}
+
+
+def test_identifiers_of_late_and_early_times(spark, tmp_path):
+    fit = orders(spark, tmp_path / "fit", [0, 1, 3257811, 3257812, 3257813, 8999999, 53999999, 10**11, -1, -3257813])
+    got = sorted(tuple(x) for x in catalog.QUERIES["uuid_fields"](spark, fit).collect())
+    assert got == by_sql(fit, "uuid_fields")
