@@ -1,4 +1,4 @@
-"""Bit sets: small ones in one BIGINT, large ones as bitmap aggregates."""
+"""Bit sets: small ones in one BIGINT, large ones as buckets of a few BIGINTs."""
 
 from __future__ import annotations
 
@@ -54,11 +54,23 @@ def leading_zeros(x: Column) -> Column:
     return F.when(x == 0, 64).when(x < 0, 0).otherwise(64 - F.length(F.bin(x)))
 
 
+#: BIGINTs of a bucket.
+WORDS = 8
+
+
 def bitmap(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, bucket and bitmap: the set of non-negative values of each key in buckets of 32768 bits."""
-    b = F.bitmap_bucket_number(F.col(value))
-    return df.groupBy(*keys, b.alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(value))).alias("bitmap"))
+    """keys, bucket and bitmap: the set of whole values of each key in buckets of 512 bits, an array of WORDS BIGINTs;
+    null values leave it empty.
+
+    The words are aggregated as numbers in a hash table, before and after the shuffle, so rows need no sort and memory
+    follows the buckets: bitmap_construct_agg sorts all rows of a task, and its 4 KB with few bits in them shrink in a
+    shuffle, so that a task is dealt far more of them than it seems."""
+    x = F.col(value).cast("bigint")
+    word, own = F.shiftright(x, 6).bitwiseAND(F.lit(WORDS - 1).cast("bigint")), bit(x.bitwiseAND(F.lit(63).cast("bigint")))
+    words = [F.coalesce(F.bit_or(F.when(word == i, own)), F.lit(0).cast("bigint")) for i in range(WORDS)]
+    return df.groupBy(*keys, F.shiftright(x, 9).alias("bucket")).agg(F.array(*words).alias("bitmap"))
 
 
 def cardinality(bitmaps: DataFrame, keys: list[str]) -> DataFrame:
-    return bitmaps.groupBy(*keys).agg(F.sum(F.bitmap_count("bitmap")).alias("n"))
+    n = sum((F.bit_count(F.get("bitmap", F.lit(i))) for i in range(1, WORDS)), F.bit_count(F.get("bitmap", F.lit(0))))
+    return bitmaps.groupBy(*keys).agg(F.sum(n).alias("n"))
