@@ -202,7 +202,13 @@ def _(spark, d):
 @query("components_bipartite")
 def _(spark, d):
     li = table(spark, d, "lineitem")
-    return components.labelled(li.select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey")).alias("b")))
+    o, p = F.col("l_orderkey"), F.col("l_partkey")
+    if li.where(" OR ".join(f"{k} >= {1 << 62} OR {k} < {-(1 << 62)}" for k in ("l_orderkey", "l_partkey"))).isEmpty():
+        # 63 bits hold every key: nodes are whole numbers, orders even and parts odd
+        roots = components.components(li.select(F.shiftleft(o.cast("bigint"), 1).alias("a"), F.shiftleft(p.cast("bigint"), 1).bitwiseOR(F.lit(1).cast("bigint")).alias("b")))
+        name = F.concat(F.when(F.col("node") % 2 == 0, "o").otherwise("p"), F.shiftright("node", 1).cast("string"))
+        return components.sized(roots.select(name.alias("node"), "root"))
+    return components.labelled(li.select(F.concat(F.lit("o"), o).alias("a"), F.concat(F.lit("p"), p).alias("b")))
 
 
 @query("chunked", "SELECT user_id, chunk, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 7 AS chunk FROM events) GROUP BY ALL")
