@@ -11,6 +11,9 @@
    every remaining pair between different components is estimated and confirmed, so no link is lost that any
    bucket brought together. Pairs inside a component are never made.
 
+Bands of all nodes are shuffled once, as pairs of numbers; signatures go only with nodes, shingle sets only with
+nodes that share a bucket, and both to as few joins as may be.
+
 Two sets at the threshold itself share no bucket with a probability of at most MISS.
 
 Null and empty texts, and texts without words, have an empty set, link with nothing and are kept. Fewer words
@@ -27,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm._shared import dealt_join, hot_keys, in_arrow, mix64, slices_of, small, text_bytes, written
+from tidewheel.llm._shared import BROADCAST_BYTES, HOT, dealt_join, hot_keys, in_arrow, mix64, slices_of, small, text_bytes, written
 from tidewheel.operators.components import components
 
 #: Minima in a band, low bits kept of each, most probable loss of a pair at the threshold.
@@ -39,6 +42,8 @@ ROWS, BITS, MISS = 5, 2, 1e-7
 SURE = 5.2
 #: Times that nodes without possible links are taken out.
 PEELS = 2
+#: One node in so many tells which buckets are hot; no result depends on it.
+SCOUTS = 16
 #: Word hashes that a worker remembers.
 REMEMBERED = 300_000
 
@@ -142,7 +147,9 @@ def signatures(docs: DataFrame, percent: int, words: int, text: str = "text", ke
 
 
 def sets_of(docs: DataFrame, words: int, wanted: DataFrame, text: str, key: str) -> DataFrame:
-    """node and its sorted shingle hashes, for the rows whose id is in `wanted` (doc_id) or null."""
+    """node and its sorted shingle hashes, one row each, for at least the rows whose id is in `wanted` (doc_id), a written table, or null.
+
+    Texts are never shuffled: wanted ids are broadcast as hashes, in as many passes over the texts as their bytes take."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -152,9 +159,20 @@ def sets_of(docs: DataFrame, words: int, wanted: DataFrame, text: str, key: str)
                 nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.join(small(wanted), "doc_id", "left_semi").unionByName(rows.where(F.col("doc_id").isNull()))
-    return rows.select("text").transform(in_arrow, run, "node binary, shingles array<bigint>")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn("hash", F.xxhash64("doc_id"))
+    hashed = wanted.select(F.xxhash64("doc_id").alias("hash")).distinct()
+    passes = max(1, math.ceil(16 * wanted.count() / BROADCAST_BYTES))
+    found = None
+    for i in range(passes):
+        turn = F.pmod(F.col("hash"), F.lit(passes)) == i
+        some = rows.where(turn).join(F.broadcast(hashed.where(turn)), "hash", "left_semi").where("doc_id is not null")
+        if not i:
+            some = some.unionByName(rows.where("doc_id is null"))
+        some = written(some.select("text").transform(in_arrow, run, "node binary, shingles array<bigint>"))
+        found = some if found is None else found.unionByName(some)
+    if found.count() > found.select("node").distinct().count():  # ids or texts repeat
+        found = written(found.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    return found
 
 
 def equal_fields(a: str, b: str, k: int):
@@ -186,25 +204,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, text: st
     at least `percent` per cent), kept (whether that is its own id)."""
     k = bands_for(percent) * ROWS
     rows = written(signatures(docs, percent, words, text, key))
-    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("buckets").alias("buckets")))
-    spread = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = written(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    hot = hot_keys(shared, "bucket")
-    met = dealt_join(spread, shared, "bucket", hot, "node")
-    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
-    # a hot bucket's members come as they lie; ties of weight fall to a scramble of the node
-    members = written(met.select("bucket", "node").join(nodes.select("node", "least", "n", "bits", "buckets"), "node").join(weight, "node").withColumn("place", F.struct("weight", F.xxhash64("node"), "node")))
-    wanted = members.select(F.col("least").alias("doc_id")).where("doc_id is not null").distinct()
-    sets = written(sets_of(docs, words, wanted, text, key).groupBy("node").agg(F.first("shingles").alias("shingles")))
-
-    centre = members.groupBy("bucket").agg(F.max(F.struct("place", "node", "n", "bits")).alias("c"))
-    stars = dealt_join(members, centre, "bucket", hot, "node").where("node != c.node").select(F.col("c.node").alias("a"), F.col("c.n").alias("n_a"), F.col("c.bits").alias("bits_a"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("buckets").alias("buckets"))
+    nodes = written(nodes.withColumn("number", F.monotonically_increasing_id()))
+    met, hot = shared_buckets(nodes.select("number", F.explode("buckets").alias("bucket")))
+    met = written(met)
+    # a node's weight is the number of those that it meets; ties fall to a scramble of the node
+    weight = met.groupBy("number").agg(F.sum("met").alias("weight"))
+    meeting = nodes.select("number", "node", "least", "n", "bits").join(weight, "number")
+    members = written(met.join(meeting, "number").drop("number"))
+    wanted = written(members.select(F.col("least").alias("doc_id")).where("doc_id is not null").distinct())
+    sets = sets_of(docs, words, wanted, text, key)
+
+    centre = members.groupBy("bucket").agg(F.max(F.struct("weight", F.xxhash64("node").alias("place"), "node", "n", "bits")).alias("c"))
+    centre = centre.select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("n_a"), F.col("c.bits").alias("bits_a"))
+    stars = dealt_join(members.select("bucket", "node", "n", "bits"), centre, "bucket", hot, "node").where("node != a").withColumnsRenamed({"node": "b", "n": "n_b", "bits": "bits_b"})
     links = written(confirmed(stars.where(alike(percent, k)), sets, percent))
     groups = components(links)
 
     open_ = unfinished(members, groups, hot)
     for _ in range(PEELS):
         open_ = without_hopeless(open_, sets, percent, hot)
+    # of a node's buckets only those still open are needed to tell which is the first that a pair has in common
+    open_ = written(open_.join(open_.groupBy("node").agg(F.collect_list("bucket").alias("buckets")), "node"))
     side = ["part", "node", "n", "bits", "u", "buckets"]
     left = open_.select("bucket", *[F.col(x).alias(f"{x}_a") for x in side])
     right = open_.select(F.col("bucket").alias("bucket_b"), *[F.col(x).alias(f"{x}_b") for x in side])
@@ -227,9 +248,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, text: st
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def shared_buckets(spread: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows (number, bucket) whose bucket has several, with met, about how many, and the hot buckets as hot_keys gives them.
+
+    One shuffle brings a bucket together and counts it. Buckets so large that this would burden a task are found by a part of all numbers; they stay where they are."""
+    scouts = spread.where(F.pmod(F.xxhash64("number"), F.lit(SCOUTS)) == 0).groupBy("bucket").agg((F.count("*") * SCOUTS).alias("n"))
+    hot = hot_keys(written(scouts.where(F.col("n") > HOT)), "bucket")
+    cold = spread if hot is None else spread.join(hot, "bucket", "left_anti")
+    met = cold.select("bucket", "number", F.count("*").over(Window.partitionBy("bucket")).alias("met")).where("met > 1")
+    if hot is not None:
+        met = met.unionByName(spread.join(hot, "bucket").select("bucket", "number", (F.col("parts__") * F.lit(HOT).cast("bigint")).alias("met")))
+    return met, hot
+
+
 def unfinished(members: DataFrame, groups: DataFrame, hot: DataFrame | None) -> DataFrame:
     """The members, with the part (component) of each, of buckets that hold more than one part."""
-    parts = members.join(groups, "node", "left").withColumn("part", F.coalesce("root", "node")).select("bucket", "node", "part", "n", "bits", "buckets")
+    parts = members.join(groups, "node", "left").withColumn("part", F.coalesce("root", "node")).select("bucket", "node", "part", "n", "bits")
     several = parts.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("bucket")
     return written(dealt_join(parts, several, "bucket", hot, "node"))
 
@@ -243,7 +277,8 @@ def without_hopeless(open_: DataFrame, sets: DataFrame, percent: int, hot: DataF
         open_ = open_.drop("u")
     smallest = open_.groupBy("bucket").agg(F.min("n").alias("m"))
     nodes = dealt_join(open_.select("bucket", "node", "n"), smallest, "bucket", hot, "node").groupBy("node").agg(F.first("n").alias("n"), F.min("m").alias("m"))
-    left = sets.join(nodes.select("node"), "node", "left_semi")
+    nodes = written(nodes)
+    left = sets.join(small(nodes.select("node")), "node", "left_semi")
     each = left.select("node", F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").select("shingle")
     useful = each.join(common, "shingle").groupBy("node").agg(F.count("*").alias("u"))
